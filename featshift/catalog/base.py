@@ -224,7 +224,7 @@ def customer_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = (F.col("c_custkey") % 12).cast("int")
     alone = F.col("c_custkey") % 60 == 0
     wobble = (F.col("c_custkey") * 7919 % 13 - 6) / 6.0
-    falling = 0.5 + 0.5 * F.exp(-step / (2.0 + run % 4)) + 0.01 * wobble
+    falling = 0.5 + 0.48 * F.exp(-step / (2.0 + run % 4)) + 0.011 * wobble
     base = table(spark, sf_dir, "customer")
     position = F.when(alone, F.lit(0)).when(run % 5 == 0, step - 1).otherwise(step)
     return base.select(
@@ -244,7 +244,7 @@ cv AS (
   SELECT CAST(CASE WHEN alone THEN -c_custkey - 1 ELSE run END AS BIGINT) AS run_id, pos + 1 AS iteration,
          pos * (pos + 3) // 2 AS x,
          CASE WHEN run % 10 = 3 THEN CAST(0.6 AS DOUBLE)
-              ELSE 0.5 + 0.5 * exp(-step / (2.0 + run % 4)) + 0.01 * wobble END AS y
+              ELSE 0.5 + 0.48 * exp(-step / (2.0 + run % 4)) + 0.011 * wobble END AS y
   FROM placed)"""
 
 
