@@ -113,7 +113,9 @@ def patience_column(iterations: Column, patience: int) -> Column:
 
 def patience_stop(curve: DataFrame, patience: int, by: Sequence[str] = ("run_id",)) -> DataFrame:
     """``(by..., stop_iteration)`` from rows ``(by..., iteration, score)``."""
-    points = F.collect_list(F.struct(F.col("iteration").cast("int"), F.col("score").cast("double")))
+    points = F.collect_list(
+        F.struct(F.col("iteration").cast("int").alias("iteration"), F.col("score").cast("double").alias("score"))
+    )
     grouped = curve.groupBy(*by).agg(points.alias("_points"))
     return grouped.select(*by, patience_column(F.col("_points"), patience).alias("stop_iteration"))
 
