@@ -6,7 +6,7 @@ from importlib import import_module
 
 from featshift.catalog.base import Query
 
-AREAS = ("preparation", "corruption", "scoring", "curves", "locating")
+AREAS = ("preparation", "corruption", "scoring", "curves", "locating", "distances")
 
 
 def all_queries() -> list[Query]:

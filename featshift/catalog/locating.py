@@ -130,7 +130,9 @@ def _scored_curve(spark: SparkSession, d: str) -> DataFrame:
 
 
 def patience(spark: SparkSession, d: str) -> DataFrame:
-    return patience_stop(_scored_curve(spark, d), 2).select("run_id", long("stop_iteration").alias("stop_iteration"))
+    return patience_stop(_scored_curve(spark, d), 2).select(
+        "run_id", long(F.coalesce("stop_iteration", F.lit(0))).alias("stop_iteration")
+    )
 
 
 def stops(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +189,7 @@ SELECT setting, run_id, feature, rn AS cut_rank, round(importance, 6) + 0.0 AS i
     Query("recorded_report", recorded_report, f"""WITH {_CUT}, mine AS (SELECT run_id, feature, (rn + 1) // 2 AS it, importance FROM cut WHERE setting = 'percentage')
 SELECT n.run_id, n.feature, CAST(n.position AS BIGINT) AS position, CAST(mine.it IS NOT NULL AS BIGINT) AS mask, CAST(coalesce(mine.it, 0) AS BIGINT) AS ranking,
        round(coalesce(mine.importance, 0.0), 6) + 0.0 AS importance FROM norm n LEFT JOIN mine ON mine.run_id = n.run_id AND mine.feature = n.feature"""),
-    Query("patience_rule", patience, f"WITH RECURSIVE {_PATIENCE}{_WALK} SELECT run_id, CAST(stop_iteration AS BIGINT) AS stop_iteration FROM stops"),
+    Query("patience_rule", patience, f"WITH RECURSIVE {_PATIENCE}{_WALK} SELECT run_id, CAST(coalesce(stop_iteration, 0) AS BIGINT) AS stop_iteration FROM stops"),
     Query("stop_rule", stops, f"""WITH RECURSIVE {_PATIENCE}{_WALK}
 SELECT run_id, CAST(iteration AS BIGINT) AS iteration, CASE WHEN (run_id + iteration) % 11 = 0 THEN 'nothing detected' WHEN 90 - x = 0 THEN 'no feature left'
   WHEN y < 0.53 THEN 'score within margin' WHEN x >= 60 THEN 'feature limit' WHEN iteration = 9 THEN 'iteration limit'

@@ -31,7 +31,7 @@ def local_session(cpus: str | int | None = None) -> SparkSession:
 
 def _canonical(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].astype(object)
-    rows = sorted((tuple("" if v is None or v != v else repr(v.item() if hasattr(v, "item") else v) for v in row) for row in df.itertuples(index=False)))
+    rows = sorted((tuple("" if v is None or pd.isna(v) else repr(v.item() if hasattr(v, "item") else v) for v in row) for row in df.itertuples(index=False)))
     return pd.DataFrame(rows, columns=df.columns)
 
 
