@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from featshift.catalog.base import Query, SQL_IM, long, part_importances, r, scored_events, sql_scored
+from featshift.catalog.base import SQL_IM, Query, long, part_importances, r, scored_events, sql_scored
 from featshift.functions.scores import CORRECT_CLIP, Scored, tvd_from_accuracy
 from featshift.operators.evaluate import evaluate, fold_mean_std, localization_f1
 from featshift.operators.locating import normalised_importance
@@ -87,8 +88,6 @@ def fold_summary(spark: SparkSession, d: str) -> DataFrame:
 def localization(spark: SparkSession, d: str) -> DataFrame:
     """Features ranked two per iteration by importance, against a fixed set of corrupted positions."""
     importance = normalised_importance(part_importances(spark, d), ["run_id"])
-    from pyspark.sql import Window as W
-
     order = W.partitionBy("run_id").orderBy(F.desc("importance"), "position")
     place = F.row_number().over(order)
     report = importance.withColumn("ranking", F.when(place <= 6, F.ceil(place / 2)).otherwise(0).cast("int"))

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featshift.functions.hashing import driver_uniform, seeded_uniform
+from featshift.operators.discriminate import cached
 from featshift.operators.rank import seeded_rank
 
 # The corruption codes and what each one needs.
@@ -191,19 +194,30 @@ def corrupt_features(
 
 
 def impute_features(
-    reference: DataFrame, query: DataFrame, targets: Sequence[str], inputs: Sequence[str], regressor: Estimator
+    reference: DataFrame,
+    query: DataFrame,
+    targets: Sequence[str],
+    inputs: Sequence[str],
+    regressor: Estimator,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Fit ``inputs -> target`` on the reference for every target and predict it on the query."""
     assembler = VectorAssembler(inputCols=list(inputs), outputCol="_inputs", handleInvalid="keep")
-    train, out = assembler.transform(reference), assembler.transform(query)
-    for target in targets:
-        model = regressor.copy(
+    train, out = assembler.transform(reference.select(*inputs, *targets)).drop(*inputs), assembler.transform(query)
+
+    def fit(target: str) -> Model:
+        ready = regressor.copy(
             {
                 regressor.getParam("featuresCol"): "_inputs",
                 regressor.getParam("labelCol"): target,
                 regressor.getParam("predictionCol"): f"_fit_{target}",
             }
-        ).fit(train)
+        )
+        return ready.fit(train)
+
+    with cached(train) as train, ThreadPool(max(1, min(parallelism, len(targets)))) as pool:
+        models = pool.map(inheritable_thread_target(query.sparkSession)(fit), targets)
+    for model in models:
         out = model.transform(out)
     replaced = set(targets)
     return out.select(*[F.col(f"_fit_{c}").alias(c) if c in replaced else F.col(c) for c in query.columns])
