@@ -16,6 +16,7 @@ from featshift.functions.weights import ensemble_weights
 from featshift.operators import divergence as D
 from featshift.operators.blocks import fold_copies, knn_join, neighbour_counts
 from featshift.operators.discriminate import logistic
+from featshift.operators.spanning import spanning_bayes_bounds, spanning_divergence
 from featshift.operators.transport import directional_wasserstein, feature_wasserstein
 
 K = 3
@@ -120,6 +121,16 @@ def per_feature(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def mst(spark: SparkSession, d: str) -> DataFrame:
+    return spanning_divergence(*_sides(spark, d)).select(
+        "n", "edges", r("total_weight").alias("total_weight"), "cross_edges", r("divergence").alias("divergence")
+    )
+
+
+def ghp(spark: SparkSession, d: str) -> DataFrame:
+    return spanning_bayes_bounds(spanning_divergence(*_sides(spark, d))).select(r("lower").alias("lower"), r("upper").alias("upper"))
+
+
 def tv(spark: SparkSession, d: str) -> DataFrame:
     value, scored = D.discriminator_divergence(shifted_lineitem(spark, d), logistic())
     return value.select("metric", r("value").alias("value"))
@@ -256,6 +267,8 @@ SELECT round(x.kl, 4) + 0.0 AS kl_p_q, round(y.kl, 4) + 0.0 AS kl_q_p, round(x.k
     Query("ber_kde", ber_kde, _KDE),
     Query("sliced_wasserstein", sliced, _transport_sql(_directions_sql(), "SELECT count(*) AS n_projections, round(sqrt(avg(c)), 6) + 0.0 AS distance FROM cost")),
     Query("feature_wasserstein", per_feature, _transport_sql(_FEATURE_VALUES, "SELECT CASE proj " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(LI_FEATURES)) + " END AS feature, CAST(proj AS BIGINT) AS position, round(sqrt(c), 6) + 0.0 AS distance FROM cost")),
+    Query("mst_divergence", mst),
+    Query("ghp_bounds", ghp),
     Query("divergence_tv", tv),
     Query("divergence_panel", panel),
     Query("divergence_panel_fixed", panel_fixed, f"WITH {sql_scored(True)}, agg AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _PANEL.items()) + " FROM sc) "
