@@ -24,8 +24,10 @@ from featshift.plans.correct import bad_row_probability, correct_features, fit_c
 
 BATCH = 3000
 CORRUPTED = ("l_quantity", "l_discount")
-SMALL_TREES = boosted_trees(10, 4)
-CONFIG = CorrectConfig(base_classifier=SMALL_TREES)
+
+
+def small_config() -> CorrectConfig:
+    return CorrectConfig(base_classifier=boosted_trees(10, 4))
 
 
 def aligned(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +120,7 @@ def argmin(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bad_probability(spark: SparkSession, d: str) -> DataFrame:
-    scored = bad_row_probability(shifted_lineitem(spark, d), CONFIG, "0")
+    scored = bad_row_probability(shifted_lineitem(spark, d), small_config(), "0")
     return scored.select(*LI_KEY, r("p1").alias("p1"))
 
 
@@ -126,7 +128,7 @@ def cross_pair(spark: SparkSession, d: str) -> DataFrame:
     """Mean probability of each half under the model that did not train on it."""
     pair = shifted_lineitem(spark, d)
     halves = query_halves(pair, 0)
-    models = fit_cross_pair(pair, CORRUPTED, halves, [], CONFIG, "0")
+    models = fit_cross_pair(pair, CORRUPTED, halves, [], small_config(), "0")
     rows = assemble(pair.query.withColumn("label", F.lit(1)), pair.features).join(halves, list(LI_KEY))
     parts = [score_rows(models[h], rows.filter(F.col("half") == h)) for h in (0, 1)]
     return parts[0].unionByName(parts[1]).groupBy(long("half").alias("half")).agg(
@@ -136,7 +138,7 @@ def cross_pair(spark: SparkSession, d: str) -> DataFrame:
 
 def correction(spark: SparkSession, d: str) -> DataFrame:
     pair = shifted_lineitem(spark, d)
-    result = correct_features(pair, CORRUPTED, CONFIG)
+    result = correct_features(pair, CORRUPTED, small_config())
     return result.query.select(*LI_KEY, *rounded(LI_FEATURES))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Estimator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +40,9 @@ def shifted_lineitem(spark: SparkSession, d: str) -> ShiftPair:
     return ShiftPair(pair.reference, query, pair.features, pair.key)
 
 
-def _discriminate(estimator: Estimator, source):
+def _discriminate(estimator: Callable[[], Estimator], source: Callable[[SparkSession, str], ShiftPair]):
     def build(spark: SparkSession, d: str) -> DataFrame:
-        scored = out_of_fold(source(spark, d), estimator, 5, 0)
+        scored = out_of_fold(source(spark, d), estimator(), 5, 0)
         return evaluate(scored, ["balanced_accuracy", "roc_auc", "TV", "JD"], ["fold"]).select(
             long("fold").alias("fold"), "metric", r("value").alias("value")
         )
@@ -175,9 +177,9 @@ walk AS (
 stops AS (SELECT run_id, min(CASE WHEN waited >= 2 THEN iteration END) AS stop_iteration FROM walk GROUP BY run_id)"""
 
 QUERIES = [
-    Query("discriminate_forest", _discriminate(random_forest(20, 5), embedding_pair)),
-    Query("discriminate_boosted", _discriminate(boosted_trees(10, 4), shifted_lineitem)),
-    Query("discriminate_logistic", _discriminate(logistic(), embedding_pair)),
+    Query("discriminate_forest", _discriminate(lambda: random_forest(20, 5), embedding_pair)),
+    Query("discriminate_boosted", _discriminate(lambda: boosted_trees(10, 4), shifted_lineitem)),
+    Query("discriminate_logistic", _discriminate(logistic, embedding_pair)),
     Query("oof_probabilities", oof),
     Query("shift_detection", detection),
     Query("shift_location", location),

@@ -122,6 +122,12 @@ def check_dimension(*tables: DataFrame) -> int:
     return seen.pop()
 
 
+def require_dimension(queries: DataFrame, dim: int) -> None:
+    found = queries.agg(F.min(F.size("vec")).alias("lo"), F.max(F.size("vec")).alias("hi")).first()
+    if {found["lo"], found["hi"]} - {dim, None}:
+        raise ValueError(f"query vectors have length {found['lo']} to {found['hi']}, points {dim}")
+
+
 def fold_copies(points: DataFrame, tag: str | None = None) -> DataFrame:
     """One row per distinct (vector, tag): smallest ``id`` and ``weight`` = number of copies."""
     keys = ["vec", tag] if tag else ["vec"]
@@ -140,9 +146,13 @@ def build_index(points: DataFrame, tag: str | None = None, seed: int | str = 0)
     ``tag`` names a column of few values; the map then holds, per block, the summed
     ``weight`` (or row count) of every tag.
     """
-    dim = check_dimension(points)
     spark = points.sparkSession
-    n = points.count()
+    # Read several times below; what it took to make it is paid once.
+    points = materialize(points, "points")
+    size = points.agg(F.count("*").alias("n"), F.min(F.size("vec")).alias("lo"), F.max(F.size("vec")).alias("hi")).first()
+    n, dim = size["n"], size["lo"]
+    if n == 0 or dim != size["hi"]:
+        raise ValueError("points must exist and have vectors of one length")
     n_pivots = min(MAX_PIVOTS, max(1, math.ceil(n / PIVOT_ROWS)))
     chosen = points.select("id", "vec").orderBy(seeded_hash(seed, "id"), "id").limit(n_pivots).collect()
     pivots = np.array([row["vec"] for row in chosen], dtype=float)
@@ -296,7 +306,7 @@ def knn_join(
     need = k + 1 if exclude_self else k
     index = build_index(first_copies(points.select("id", "vec", *carry), need), seed=seed)
     queries = queries.select("id", "vec")
-    check_dimension(queries, points)
+    require_dimension(queries, index.dim)
 
     def rule(m: BlockMap, at: Bounds, _: pd.DataFrame) -> np.ndarray:
         reach = np.full(len(at.low), np.inf)

@@ -20,6 +20,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featshift.functions.scores import CORRECT_CLIP, Scored
+from featshift.operators.evaluate import evaluate
 from featshift.operators.prepare import stratified_folds
 from featshift.sources.pair import ShiftPair
 from featshift.storage import materialize
@@ -100,6 +102,11 @@ def importances_of(model: Model) -> list[float]:
     raise ValueError(f"{type(model).__name__} has neither coefficients nor featureImportances")
 
 
+def score_model(model: Model, rows: DataFrame, metrics: Sequence[str] = ("JD", "TV"), columns: Scored = Scored(clip=CORRECT_CLIP)) -> DataFrame:
+    """``(metric, value)`` of an already fitted model on assembled, labelled rows."""
+    return evaluate(score_rows(model, rows), metrics, columns=columns)
+
+
 @dataclass(frozen=True)
 class FoldFits:
     """Fitted models by fold and the scored test rows of all folds."""

@@ -24,8 +24,6 @@ from featshift.operators.blocks import (
 from featshift.operators.divergence import labelled_points
 from featshift.storage import materialize
 
-_BEST = F.struct("w", "lo", "hi", "other")
-
 
 def _edge(a: str, b: str, w: str, other: str) -> list:
     return [F.col(w).alias("w"), F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), F.col(other).alias("other")]
@@ -37,7 +35,7 @@ def _with_component(rows: DataFrame, labels: DataFrame, id_column: str, out: str
 
 def _best_edges(edges: DataFrame) -> DataFrame:
     """Smallest edge per component: ``(comp, w, lo, hi, other)``."""
-    return edges.groupBy("comp").agg(F.min(_BEST).alias("e")).select("comp", "e.*")
+    return edges.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi", "other")).alias("e")).select("comp", "e.*")
 
 
 def _search(index: BlockIndex, open_points: DataFrame, labels: DataFrame) -> DataFrame:
