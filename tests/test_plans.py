@@ -86,12 +86,12 @@ def test_location_ends_before_the_last_feature(shifted):
     dict(alpha=1, threshold=0.1), dict(cv=5, test_size=0.2), dict(percentage=1.5), dict(return_estimator=1), dict(patience=0),
     dict(scoring=("balanced_accuracy", "nope")), dict(find_best="other"), dict(cv=None),
 ])
-def test_argument_rules(bad):
+def test_argument_rules(spark, bad):
     with pytest.raises(ValueError):
         LocateConfig(**bad)
 
 
-def test_config_copies_are_independent():
+def test_config_copies_are_independent(spark):
     base = LocateConfig(estimator=logistic())
     assert replace(base, cv=3).cv == 3 and base.cv == 5
 
@@ -176,12 +176,12 @@ def test_correction_lowers_the_divergence_and_spares_clean_columns(correlated):
     assert result.chosen in ("aligned", "linear", "knn")
 
 
-@pytest.mark.parametrize("classifier", [boosted_trees(3, 3), logistic()])
-def test_epochs_run_through_blocks_and_laps(spark, correlated, classifier):
+@pytest.mark.parametrize("make", [lambda: boosted_trees(3, 3), logistic])
+def test_epochs_run_through_blocks_and_laps(spark, correlated, make):
     """Blocks of 100 rows and a query twice as long as the reference."""
     longer = correlated.query.unionByName(correlated.query.withColumn("id", F.col("id") + 10000))
     pair = replace(correlated, query=longer)
-    config = CorrectConfig(base_classifier=classifier, batch_size=100, bad_share=0.0, num_epochs=2, max_dims=1)
+    config = CorrectConfig(base_classifier=make(), batch_size=100, bad_share=0.0, num_epochs=2, max_dims=1)
     result = correct_features(pair, ["f0", "f1"], config)
     steps = [r["step"] for r in result.log.collect()]
     assert steps.count("epoch") == 2 and result.query.count() == 1000
