@@ -85,8 +85,8 @@ def scaled_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_scale(lineitem(spark, sf_dir), LI_FEATURES)
 
 
-def lineitem_pair(spark: SparkSession, sf_dir: str, seed: int = 0) -> ShiftPair:
-    return half_split(scaled_lineitem(spark, sf_dir), LI_KEY, LI_FEATURES, seed)
+def lineitem_pair(spark: SparkSession, sf_dir: str, stored: bool = False) -> ShiftPair:
+    return half_split(scaled_lineitem(spark, sf_dir), LI_KEY, LI_FEATURES, 0, stored)
 
 
 SQL_LI = f"""li AS (

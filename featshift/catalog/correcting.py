@@ -13,7 +13,7 @@ from featshift.catalog.base import (
 from featshift.catalog.locating import shifted_lineitem
 from featshift.config import CorrectConfig
 from featshift.operators.candidates import (
-    SplitScorer, bad_row_counts, candidate_argmin, correction_blocks, worst_rows,
+    SplitScorer, Term, bad_row_counts, candidate_argmin, correction_blocks, worst_rows,
 )
 from featshift.operators.discriminate import assemble, boosted_trees, score_rows
 from featshift.operators.prepare import half_split
@@ -31,11 +31,11 @@ def small_config() -> CorrectConfig:
 
 
 def aligned(spark: SparkSession, d: str) -> DataFrame:
-    return propose_aligned(lineitem_pair(spark, d), CORRUPTED, 2).select(*LI_KEY, *rounded(CORRUPTED))
+    return propose_aligned(lineitem_pair(spark, d, stored=True), CORRUPTED, 2).select(*LI_KEY, *rounded(CORRUPTED))
 
 
 def permuted(spark: SparkSession, d: str) -> DataFrame:
-    return propose_permuted(lineitem_pair(spark, d), CORRUPTED, 2).select(*LI_KEY, *rounded(CORRUPTED))
+    return propose_permuted(lineitem_pair(spark, d, stored=True), CORRUPTED, 2).select(*LI_KEY, *rounded(CORRUPTED))
 
 
 def linear(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +62,7 @@ def choose(spark: SparkSession, d: str) -> DataFrame:
 
 def training_set(spark: SparkSession, d: str) -> DataFrame:
     """Row counts and column totals per source of the training set."""
-    pair = lineitem_pair(spark, d)
+    pair = lineitem_pair(spark, d, stored=True)
     halves = query_halves(pair, 0)
     rows = correction_training_set(pair, CORRUPTED, halves, 1, [pair.query], 5)
     mixed = F.col("l_quantity") * F.col("l_extendedprice") + 2 * F.col("l_discount") * F.col("l_tax")
@@ -92,7 +92,7 @@ def quota_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, d: str) -> DataFrame:
-    ref, que = correction_blocks(lineitem_pair(spark, d), BATCH, 3)
+    ref, que = correction_blocks(lineitem_pair(spark, d, stored=True), BATCH, 3)
     left = ref.select(*LI_KEY, F.lit("reference").alias("side"), "rank", long("block").alias("block"), F.lit(0).cast("bigint").alias("lap"))
     right = que.select(*LI_KEY, F.lit("query").alias("side"), "rank", long("block").alias("block"), long("lap").alias("lap"))
     return left.unionByName(right)
@@ -100,20 +100,20 @@ def blocks(spark: SparkSession, d: str) -> DataFrame:
 
 def closed_form_scorer() -> SplitScorer:
     """(3x - y)^2 as a sum of products."""
-    return SplitScorer(
+    return SplitScorer((Term(
         lambda x: np.column_stack([9 * x[:, 0] ** 2, -6 * x[:, 0], np.ones(len(x))]),
         lambda y: np.column_stack([np.ones(len(y)), y[:, 0], y[:, 0] ** 2]),
-    )
+    ),))
 
 
 def argmin(spark: SparkSession, d: str) -> DataFrame:
     """Every query line item takes the supplier number of its block closest to three times its quantity."""
     base = lineitem(spark, d).withColumn("x", F.col("l_quantity")).withColumn("y", (F.col("l_suppkey") + 37).cast("double"))
-    pair = half_split(base, LI_KEY, ("x", "y"), 0)
+    pair = half_split(base, LI_KEY, ("x", "y"), 0, stored=True)
     ref_blocks, que_blocks = correction_blocks(pair, BATCH, 3)
     rows = pair.query.join(que_blocks, list(LI_KEY)).withColumn("half", F.lit(0))
     offered = pair.reference.join(ref_blocks, list(LI_KEY)).select(
-        "block", F.lit(0).alias("source"), F.col("rank").alias("candidate"), "y"
+        "block", F.lit(0).alias("lap"), F.lit(0).alias("source"), F.col("rank").alias("candidate"), "y"
     )
     best = candidate_argmin(rows, offered, LI_KEY, ["x"], ["y"], {0: closed_form_scorer()})
     return best.select(*LI_KEY, long("source").alias("source"), r("y").alias("y"))

@@ -34,7 +34,7 @@ def embedding_pair(spark: SparkSession, d: str) -> ShiftPair:
 
 def shifted_lineitem(spark: SparkSession, d: str) -> ShiftPair:
     """Line item halves whose query has two corrupted features."""
-    pair = lineitem_pair(spark, d)
+    pair = lineitem_pair(spark, d, stored=True)
     query = corrupt_features(pair.query, LI_KEY, ("l_quantity",), 5, 1)
     query = corrupt_features(query, LI_KEY, ("l_discount",), 1, 1)
     return ShiftPair(pair.reference, query, pair.features, pair.key)

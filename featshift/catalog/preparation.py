@@ -89,7 +89,7 @@ def half_split_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stratified_kfold(spark: SparkSession, d: str) -> DataFrame:
-    folds = stratified_folds(lineitem_pair(spark, d).labelled(), LI_KEY, 5, 3)
+    folds = stratified_folds(lineitem_pair(spark, d, stored=True).labelled(), LI_KEY, 5, 3)
     return folds.select(*LI_KEY, long("label").alias("label"), long("fold").alias("fold"))
 
 

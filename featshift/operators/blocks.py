@@ -58,8 +58,9 @@ def exact_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(((a - b) ** 2).sum(axis=1))
 
 
-def row_slices(n_rows: int, width: int) -> Iterator[slice]:
-    step = max(1, _CELLS // max(1, width))
+def row_slices(n_rows: int, width: int, cells: int = _CELLS) -> Iterator[slice]:
+    """Slices of rows so that rows x width stays within ``cells``."""
+    step = max(1, cells // max(1, width))
     for start in range(0, n_rows, step):
         yield slice(start, min(n_rows, start + step))
 
@@ -305,7 +306,8 @@ def knn_join(
         raise ValueError("k must be at least 1")
     need = k + 1 if exclude_self else k
     index = build_index(first_copies(points.select("id", "vec", *carry), need), seed=seed)
-    queries = queries.select("id", "vec")
+    # The visits are counted in one pass and sent in another.
+    queries = materialize(queries.select("id", "vec"), "queries")
     require_dimension(queries, index.dim)
 
     def rule(m: BlockMap, at: Bounds, _: pd.DataFrame) -> np.ndarray:
@@ -388,7 +390,8 @@ def neighbour_counts(
     index = build_index(points, tag="tag", seed=seed)
     if "weight" not in queries.columns:
         queries = queries.withColumn("weight", F.lit(1).cast("bigint"))
-    queries = queries.select("id", "vec", "tag", "weight")
+    queries = materialize(queries.select("id", "vec", "tag", "weight"), "queries")
+    require_dimension(queries, index.dim)
     counters = [f"c{i}" for i in range(len(radii))]
     names = ["id", "own", "weight", "tag", *counters]
     schema = T.StructType(
@@ -474,7 +477,8 @@ def kernel_sums(queries: DataFrame, points: DataFrame, bandwidth: float, cutoff:
     index = build_index(points, tag="tag", seed=seed)
     if "weight" not in queries.columns:
         queries = queries.withColumn("weight", F.lit(1).cast("bigint"))
-    queries = queries.select("id", "vec", "tag", "weight")
+    queries = materialize(queries.select("id", "vec", "tag", "weight"), "queries")
+    require_dimension(queries, index.dim)
     tags = index.map.tags
     tag_index = {t: i for i, t in enumerate(tags)}
     names = ["id", "own", "weight", "tag", "kernel"]

@@ -2,9 +2,9 @@
 
 A discriminator of a row made of clean values x and candidate values c is written as
 a sum of products ``score(x, c) = sum_l row_l(x) * cand_l(c)``. Tree ensembles have one
-term per leaf (a leaf is reached when x and c both allow it), linear models one term.
-Rows that look alike to the model share one search, as do candidates, and no
-(row, candidate) pair is ever emitted.
+term per tree with a product per leaf (a leaf is reached when x and c both allow it),
+linear models a single term. Rows that look alike to a tree share one line of a small
+table, candidates one column, and no (row, candidate) pair is ever emitted.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,7 @@ from featshift.storage import fresh_path
 
 BAD_ABOVE = 0.5
 _P_BUCKETS = 65536
+_SCORE_CELLS = 16_000_000
 
 
 # --- bad rows --------------------------------------------------------------------------
@@ -93,12 +95,34 @@ def correction_blocks(pair: ShiftPair, batch_size: int, seed: int | str = 0) ->
 # --- models as sums of products ----------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Term:
+    """Products ``(rows(x) * scale) @ candidates(c).T``; both map value matrices to equal widths."""
+
+    rows: Callable[[np.ndarray], np.ndarray]
+    candidates: Callable[[np.ndarray], np.ndarray]
+    scale: np.ndarray | float = 1.0
+
+
 @dataclass(frozen=True)
 class SplitScorer:
-    """``row_part`` and ``candidate_part`` map value matrices to matrices with equal column counts."""
+    terms: tuple[Term, ...]
+
+    def scores(self, x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """(rows, candidates) scores, ordered as the model's probability orders them."""
+        total = np.zeros((len(x), len(c)))
+        for term in self.terms:
+            left, left_of = _distinct_lines(term.rows(x))
+            right, right_of = _distinct_lines(term.candidates(c))
+            total += ((left * term.scale) @ right.T)[left_of][:, right_of]
+        return total
 
-    row_part: Callable[[np.ndarray], np.ndarray]
-    candidate_part: Callable[[np.ndarray], np.ndarray]
+
+def _distinct_lines(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct lines and, for every line, the number of its distinct one."""
+    packed = np.packbits(lines, axis=1) if lines.dtype == bool else lines
+    _, first, of = np.unique(packed, axis=0, return_index=True, return_inverse=True)
+    return lines[first].astype(float), of.ravel()
 
 
 @dataclass(frozen=True)
@@ -136,51 +160,54 @@ def _stored_trees(model: Model, spark: SparkSession) -> list[tuple[float, dict[i
     return [(weights[i], trees[i]) for i in sorted(trees)]
 
 
-def _reachable(trees: list[tuple[float, dict[int, _Node]]], own: dict[int, int], x: np.ndarray, weighted: bool) -> np.ndarray:
-    """(rows, leaves): 1 (or the leaf's weighted value) where the given features allow the leaf."""
-    columns = []
-    for weight, nodes in trees:
-        reach = {0: np.ones(len(x), dtype=bool)}
-        for i in sorted(nodes):
-            node = nodes[i]
-            if node.left < 0:
-                columns.append(reach[i] * (weight * node.value) if weighted else reach[i].astype(float))
-            elif node.feature in own:
-                goes_left = x[:, own[node.feature]] <= node.threshold
-                reach[node.left], reach[node.right] = reach[i] & goes_left, reach[i] & ~goes_left
-            else:
-                reach[node.left] = reach[node.right] = reach[i]
-    return np.column_stack(columns)
+def _leaf_values(nodes: dict[int, _Node]) -> np.ndarray:
+    return np.array([nodes[i].value for i in sorted(nodes) if nodes[i].left < 0])
+
+
+def _reachable(nodes: dict[int, _Node], own: dict[int, int], x: np.ndarray) -> np.ndarray:
+    """(rows, leaves): whether the given features alone allow the leaf."""
+    reach = {0: np.ones(len(x), dtype=bool)}
+    leaves = []
+    for i in sorted(nodes):
+        node = nodes[i]
+        if node.left < 0:
+            leaves.append(reach[i])
+        elif node.feature in own:
+            goes_left = x[:, own[node.feature]] <= node.threshold
+            reach[node.left], reach[node.right] = reach[i] & goes_left, reach[i] & ~goes_left
+        else:
+            reach[node.left] = reach[node.right] = reach[i]
+    return np.column_stack(leaves)
 
 
 def split_model(model: Model, features: Sequence[str], clean: Sequence[str], corrupted: Sequence[str], spark: SparkSession) -> SplitScorer:
     """Write a fitted classifier as a :class:`SplitScorer` that orders candidates as its probability does."""
     if hasattr(model, "featureImportances"):
-        trees = _stored_trees(model, spark)
         position = {name: i for i, name in enumerate(features)}
         own_clean = {position[c]: i for i, c in enumerate(clean)}
         own_bad = {position[c]: i for i, c in enumerate(corrupted)}
-        return SplitScorer(
-            lambda x: _reachable(trees, own_clean, x, weighted=True),
-            lambda c: _reachable(trees, own_bad, c, weighted=False),
-        )
+        return SplitScorer(tuple(
+            Term(
+                partial(_reachable, nodes, own_clean), partial(_reachable, nodes, own_bad), weight * _leaf_values(nodes)
+            )
+            for weight, nodes in _stored_trees(model, spark)
+        ))
     if hasattr(model, "coefficients"):
         by_name = dict(zip(features, model.coefficients.toArray()))
         slopes = np.array([by_name[c] for c in corrupted])
         # The clean part shifts all candidates of a row alike.
-        return SplitScorer(lambda x: np.ones((len(x), 1)), lambda c: (c @ slopes)[:, None])
+        return SplitScorer((Term(lambda x: np.ones((len(x), 1)), lambda c: (c @ slopes)[:, None]),))
     raise ValueError(f"{type(model).__name__} has neither coefficients nor featureImportances")
 
 
-def best_candidates(row_terms: np.ndarray, candidate_terms: np.ndarray) -> np.ndarray:
-    """For every row the first candidate with the lowest score."""
-    rows, row_of = np.unique(row_terms, axis=0, return_inverse=True)
-    cands, first = np.unique(candidate_terms, axis=0, return_index=True)
-    order = np.argsort(first)
-    cands, first = cands[order], first[order]
+def best_candidates(scorer: SplitScorer, x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """For every row of ``x`` the first candidate of ``c`` with the lowest score."""
+    rows, row_of = np.unique(x, axis=0, return_inverse=True)
+    _, first = np.unique(c, axis=0, return_index=True)
+    first.sort()
     best = np.empty(len(rows), dtype=np.int64)
-    for part in row_slices(len(rows), len(cands)):
-        best[part] = first[(rows[part] @ cands.T).argmin(axis=1)]
+    for part in row_slices(len(rows), len(first), cells=_SCORE_CELLS):
+        best[part] = first[scorer.scores(rows[part], c[first]).argmin(axis=1)]
     return best[row_of.ravel()]
 
 
@@ -191,12 +218,11 @@ def candidate_argmin(
     clean: Sequence[str],
     corrupted: Sequence[str],
     scorers: dict[int, SplitScorer],
-    laps: int = 1,
 ) -> DataFrame:
     """``(key, source, corrupted...)``: the candidate of the row's block with the lowest score.
 
     ``rows`` need ``block, lap, half`` and the clean columns, ``candidates`` need ``block,
-    source, candidate`` (together unique) and the corrupted columns. Equal scores go to
+    lap, source, candidate`` (together unique) and the corrupted columns. Equal scores go to
     the smaller (source, candidate).
     """
     key, clean, corrupted = list(key), list(clean), list(corrupted)
@@ -219,16 +245,13 @@ def candidate_argmin(
             mine = np.flatnonzero(left["half"].to_numpy() == half)
             if len(mine):
                 known = np.nan_to_num(values(left.iloc[mine], clean), nan=MISSING)
-                picked[mine] = best_candidates(
-                    scorer.row_part(known), scorer.candidate_part(np.nan_to_num(offered, nan=MISSING))
-                )
+                picked[mine] = best_candidates(scorer, known, np.nan_to_num(offered, nan=MISSING))
         out = left[key].copy()
         out["source"] = right["source"].to_numpy()[picked]
         for i, c in enumerate(corrupted):
             out[c] = offered[picked, i]
         return out[names]
 
-    offered = candidates.withColumn("lap", F.explode(F.sequence(F.lit(0), F.lit(laps - 1))))
     left = rows.select("block", "lap", "half", *key, *clean)
-    right = offered.select("block", "lap", "source", "candidate", *corrupted)
+    right = candidates.select("block", "lap", "source", "candidate", *corrupted)
     return left.groupBy("block", "lap").cogroup(right.groupBy("block", "lap")).applyInPandas(choose, schema)

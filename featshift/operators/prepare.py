@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from featshift.functions.hashing import seeded_hash
 from featshift.operators.rank import seeded_rank
 from featshift.sources.pair import ShiftPair
+from featshift.storage import materialize
 
 
 # --- scaling -----------------------------------------------------------------
@@ -46,10 +47,17 @@ def minmax_scale(
 # --- splits ------------------------------------------------------------------
 
 
-def half_split(df: DataFrame, key: Sequence[str], features: Sequence[str], seed: int | str = 0) -> ShiftPair:
-    """Seeded 50/50 split; with an odd row count the query gets the extra row."""
+def half_split(
+    df: DataFrame, key: Sequence[str], features: Sequence[str], seed: int | str = 0, stored: bool = False
+) -> ShiftPair:
+    """Seeded 50/50 split; with an odd row count the query gets the extra row.
+
+    ``stored`` writes the ranked rows once, for a pair that is read many times.
+    """
     total = df.agg(F.count("*")).scalar()
     ranked = seeded_rank(df.select(*key, *features), key, seed, out="_rank")
+    if stored:
+        ranked = materialize(ranked, "halves")
     is_reference = F.col("_rank") <= F.floor(total / 2)
     return ShiftPair.from_predicate(ranked, is_reference, key, features)
 

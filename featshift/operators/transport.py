@@ -55,10 +55,14 @@ def directional_wasserstein(
     come from a sample of rows, the distances from all rows.
     """
     axes = np.asarray(directions, dtype=float)
-    if check_dimension(reference, query) != axes.shape[1]:
-        raise ValueError("directions and vectors differ in length")
-    n = {0: reference.count(), 1: query.count()}
     both = reference.select("vec", F.lit(0).alias("side")).unionByName(query.select("vec", F.lit(1).alias("side")))
+    # Read three times below; what it took to make the vectors is paid once.
+    both = materialize(both, "vectors")
+    size = F.size("vec")
+    sides = both.groupBy("side").agg(F.count("*").alias("n"), F.min(size).alias("lo"), F.max(size).alias("hi")).collect()
+    n = {0: 0, 1: 0} | {s["side"]: s["n"] for s in sides}
+    if any(length != axes.shape[1] for s in sides for length in (s["lo"], s["hi"])):
+        raise ValueError("directions and vectors differ in length")
     share = min(1.0, SPLIT_ROWS / max(1, n[0] + n[1]))
     probe = both.sample(share, seed=0) if share < 1.0 else both
     levels = [i / VALUE_BUCKETS for i in range(1, VALUE_BUCKETS)]

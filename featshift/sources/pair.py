@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from featshift.storage import materialize
+
 MISSING = -1.0
 REFERENCE, QUERY = 0, 1
 
@@ -86,6 +88,12 @@ class ShiftPair:
             query=fill_missing(self.query, self.features, value),
         )
 
+    def stored(self) -> ShiftPair:
+        """The pair written once to the shared folder, for work that reads it many times."""
+        return replace(
+            self, reference=materialize(self.reference, "reference"), query=materialize(self.query, "query")
+        )
+
     def select_features(self, features: Sequence[str]) -> ShiftPair:
         columns = [*self.key, *features]
         return ShiftPair(self.reference.select(*columns), self.query.select(*columns), tuple(features), self.key)

@@ -26,8 +26,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def session_folder(spark: SparkSession) -> str:
+    """Where this application keeps its tables."""
+    return f"{shared_folder(spark).rstrip('/')}/featshift/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/featshift/{name}-{uuid.uuid4().hex}"
+    return f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_stored_tables(spark: SparkSession) -> None:
+    """Remove every table this application stored; results read from them become unusable."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -114,11 +114,11 @@ def test_models_as_sums_of_products(spark, unshifted, make):
     scorer = split_model(model, unshifted.features, clean, bad, spark)
     rows = unshifted.query.toPandas().sort_values("id").head(30)
     x, c = rows[clean].to_numpy(), rows[bad].to_numpy()
-    scores = scorer.row_part(x) @ scorer.candidate_part(c).T
+    scores = scorer.scores(x, c)
     crossed = [(i * 30 + j, 1, *c[j][:1], *x[i][:1], *c[j][1:], *x[i][1:]) for i in range(30) for j in range(30)]
     table = spark.createDataFrame([(k, y, *(float(v) for v in vs)) for k, y, *vs in crossed], "id bigint, label int, f0 double, f1 double, f2 double, f3 double, f4 double")
     p1 = score_rows(model, assemble(table, unshifted.features)).orderBy("id").toPandas()["p1"].to_numpy().reshape(30, 30)
-    chosen = best_candidates(scorer.row_part(x), scorer.candidate_part(c))
+    chosen = best_candidates(scorer, x, c)
     assert np.allclose(p1[np.arange(30), chosen], p1.min(axis=1), atol=1e-12)
     for i in range(30):
         order = np.argsort(scores[i], kind="stable")
