@@ -33,6 +33,7 @@ from featshift.storage import materialize
 
 MAX_PIVOTS = 1024
 MAX_BLOCKS = 32768
+MAX_TAGS = 1000
 PIVOT_ROWS = 512
 BLOCK_ROWS = 2048
 TASK_ROWS = 8192
@@ -196,6 +197,8 @@ def build_index(points: DataFrame, tag: str | None = None, seed: int | str = 0)
         F.min("radius").alias("lo"), F.max("radius").alias("hi"),
     ).collect()
     tags = sorted({s[tag] for s in stats}) if tag else []
+    if len(tags) > MAX_TAGS:
+        raise ValueError(f"{tag!r} has {len(tags)} values; at most {MAX_TAGS} classes or folds are supported")
     column = {t: i for i, t in enumerate(tags)}
     count = np.zeros(first, dtype=np.int64)
     tag_count = np.zeros((first, max(1, len(tags))), dtype=np.int64)

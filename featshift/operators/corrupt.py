@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from featshift.functions.hashing import driver_uniform, seeded_uniform
 from featshift.operators.discriminate import cached
 from featshift.operators.rank import seeded_rank
+from featshift.storage import materialize
 
 # The corruption codes and what each one needs.
 NOISE = {4.1: 0.02, 4.2: 0.05, 4.3: 0.1}
@@ -140,7 +141,8 @@ def network_mix(
                     np.maximum(x, 0.0, out=x)
             yield batch.assign(**dict(zip(raw, x.T)))
 
-    mixed = df.mapInPandas(forward, schema)
+    # Stored, so that the network runs once for the ranges and the result.
+    mixed = materialize(df.mapInPandas(forward, schema), "mixed")
     stats = mixed.agg(
         *[F.min(r).alias(f"lo{i}") for i, r in enumerate(raw)],
         *[F.max(r).alias(f"hi{i}") for i, r in enumerate(raw)],
@@ -152,8 +154,7 @@ def network_mix(
         if stats[f"bin{i}"]:
             out[c] = F.when(F.col(raw[i]) >= 0.0, 1.0).otherwise(0.0)
         elif hi > lo:
-            # A re-run batch may differ in the last bit, so stay inside [0, 1].
-            out[c] = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(raw[i]) - lo) / (hi - lo)))
+            out[c] = (F.col(raw[i]) - lo) / (hi - lo)
         else:
             out[c] = F.lit(0.0)
     return mixed.withColumns(out).drop(*raw)

@@ -50,8 +50,12 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 @contextmanager
 def cached(df: DataFrame) -> Iterator[DataFrame]:
-    """Keep ``df`` in memory (spilling to disk) while it is used several times."""
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Store ``df`` and keep it in memory (spilling to disk) while it is used several times.
+
+    With the stored table behind it, a cached part lost with its executor is read again
+    in the same row order, which tree bagging depends on.
+    """
+    kept = materialize(df, "cached").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield kept
     finally:

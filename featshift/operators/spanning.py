@@ -43,11 +43,12 @@ def _search(index: BlockIndex, open_points: DataFrame, labels: DataFrame) -> Dat
     placed = _with_component(index.points, labels, "id", "comp")
     spans = placed.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).collect()
     single = {s["block"]: s["lo"] for s in spans if s["lo"] == s["hi"]}
-    n_blocks = len(index.map.pivot_of)
-    only = np.array([single.get(b) for b in range(n_blocks)], dtype=object)
+    codes = {comp: i for i, comp in enumerate(set(single.values()))}
+    only = np.array([codes[single[b]] if b in single else -1 for b in range(len(index.map.pivot_of))])
 
     def rule(_: BlockMap, at: Bounds, batch: pd.DataFrame) -> np.ndarray:
-        foreign = only[None, :] != batch["comp"].to_numpy(dtype=object)[:, None]
+        own = batch["comp"].map(codes).fillna(-2).to_numpy(dtype=np.int64)
+        foreign = only[None, :] != own[:, None]
         reach = np.where(foreign, at.high, np.inf).min(axis=1)
         reach = np.minimum(reach, batch["cap"].to_numpy(dtype=float))
         return foreign & (at.low <= (reach * (1 + 1e-9) + 2 * at.slack)[:, None])
