@@ -244,6 +244,16 @@ _FEATURE_VALUES = f"WITH {SQL_LI_HALVES}, vals AS (" + " UNION ALL ".join(
     f"SELECT {i} AS proj, {s} AS side, {c} AS v FROM {t}" for i, c in enumerate(LI_FEATURES) for s, t in ((0, "ref"), (1, "que"))
 ) + ")"
 
+# An edge belongs to the minimum spanning tree when no path between its ends has a smaller longest
+# edge; squaring the (min, max) matrix nine times covers paths of up to 512 edges.
+_MST = f"""WITH {SQL_EM},
+b0 AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j, {_DIST} AS w, (a.label < 5) <> (b.label < 5) AS crossing FROM em a, em b), """ + ", ".join(
+    f"b{t + 1} AS MATERIALIZED (SELECT x.i, y.j, min(greatest(x.w, y.w)) AS w FROM b{t} x JOIN b{t} y ON x.j = y.i GROUP BY x.i, y.j)"
+    for t in range(9)
+) + """,
+tree AS (SELECT e.w, e.crossing FROM b0 e JOIN b9 m ON m.i = e.i AND m.j = e.j WHERE e.i < e.j AND e.w <= m.w),
+tot AS (SELECT (SELECT count(*) FROM em) AS n, count(*) AS edges, sum(w) AS total_weight, count(*) FILTER (crossing) AS cross_edges FROM tree),
+res AS (SELECT *, least(1.0, greatest(0.0, 1.0 - 2.0 * (cross_edges - 1) / n)) AS u FROM tot)"""
 _PANEL = {
     "TV": "greatest(0.0, avg(sign(p1 - 0.5) / 2) FILTER (label = 1) - avg(sign(p1 - 0.5) / 2) FILTER (label = 0))",
     "JD": _jd(_CORRECT_P), "JD_inverse": _jd(_clipped("1.0 - p1", 1e-3)),
@@ -267,8 +277,8 @@ SELECT round(x.kl, 4) + 0.0 AS kl_p_q, round(y.kl, 4) + 0.0 AS kl_q_p, round(x.k
     Query("ber_kde", ber_kde, _KDE),
     Query("sliced_wasserstein", sliced, _transport_sql(_directions_sql(), "SELECT count(*) AS n_projections, round(sqrt(avg(c)), 6) + 0.0 AS distance FROM cost")),
     Query("feature_wasserstein", per_feature, _transport_sql(_FEATURE_VALUES, "SELECT CASE proj " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(LI_FEATURES)) + " END AS feature, CAST(proj AS BIGINT) AS position, round(sqrt(c), 6) + 0.0 AS distance FROM cost")),
-    Query("mst_divergence", mst),
-    Query("ghp_bounds", ghp),
+    Query("mst_divergence", mst, f"{_MST} SELECT n, edges, round(total_weight, 4) + 0.0 AS total_weight, cross_edges, round(u, 4) + 0.0 AS divergence FROM res"),
+    Query("ghp_bounds", ghp, f"{_MST} SELECT round(0.5 - sqrt(u) / 2, 4) + 0.0 AS lower, round(0.5 - u / 2, 4) + 0.0 AS upper FROM res"),
     Query("divergence_tv", tv),
     Query("divergence_panel", panel),
     Query("divergence_panel_fixed", panel_fixed, f"WITH {sql_scored(True)}, agg AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _PANEL.items()) + " FROM sc) "

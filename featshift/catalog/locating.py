@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featshift.catalog.base import (
-    LI_FEATURES, LI_KEY, SQL_CV, SQL_IM, Query, customer_curves, embeddings, events_pair, lineitem_pair, long,
+    LI_KEY, SQL_CV, SQL_IM, Query, customer_curves, embeddings, events_pair, lineitem_pair, long,
     part_importances, r,
 )
 from featshift.config import LocateConfig

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featshift.catalog.base import (
-    EV_FEATURES, EV_KEY, LI_FEATURES, LI_FEATURES_SQL, LI_KEY, LI_KEY_SQL, OR_FEATURES, SQL_EV, SQL_EV_PAIR, SQL_LI,
-    SQL_LI_HALVES, SQL_LI_SCALED, SQL_OR_HALVES, Query, events, events_pair, lineitem, lineitem_pair, long, orders,
-    orders_pair, r, rounded, scaled_lineitem, scored_events, sql_hash, sql_rank, sql_round, sql_rounded, sql_scored,
+    EV_FEATURES, EV_KEY, LI_FEATURES, LI_KEY, LI_KEY_SQL, OR_FEATURES, SQL_EV, SQL_EV_PAIR, SQL_LI,
+    SQL_LI_HALVES, SQL_LI_SCALED, Query, events, events_pair, lineitem, lineitem_pair, long, orders,
+    r, rounded, scaled_lineitem, scored_events, sql_hash, sql_rank, sql_round, sql_rounded, sql_scored,
     sql_uniform,
 )
-from featshift.functions.hashing import seeded_hash, seeded_uniform
+from featshift.functions.hashing import seeded_uniform
 from featshift.operators.prepare import (
     align_rows, cap_clean_features, custom_folds, pick_count, pick_random_features, pick_top_std, stratified_folds,
     stratified_holdout, write_back,

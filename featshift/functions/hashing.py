@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,8 +55,3 @@ def unit_directions(seed: int | str, n: int, dim: int) -> list[list[float]]:
         norm = math.sqrt(sum(v * v for v in raw))
         out.append([v / norm for v in raw])
     return out
-
-
-def feature_order(features: Sequence[str], seed: int | str) -> list[str]:
-    """Feature names in seeded order (names break ties)."""
-    return sorted(features, key=lambda f: (hashlib.md5(f"{seed}:{f}".encode()).hexdigest(), f))

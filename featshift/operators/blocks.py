@@ -8,8 +8,8 @@ that can matter and whole blocks can be counted without a visit.
 
 A block much in demand is copied to several tasks (``salt``) and an over-full one
 is cut into parts (``part``), so no task holds more than a bounded number of rows
-from either side. What the driver holds is the pivots and one row per block, both
-bounded by ``MAX_PIVOTS`` and ``MAX_BLOCKS``.
+from either side. What the driver holds is the pivots and one row per block (and
+tag), bounded by ``MAX_PIVOTS``, ``MAX_BLOCKS`` and ``MAX_BLOCK_TAGS``.
 
 Tables have the columns ``id`` (integer or text), ``vec`` (array<double>) and
 whatever else the caller wants to carry along.
@@ -34,6 +34,7 @@ from featshift.storage import materialize
 MAX_PIVOTS = 1024
 MAX_BLOCKS = 32768
 MAX_TAGS = 1000
+MAX_BLOCK_TAGS = 1_000_000
 PIVOT_ROWS = 512
 BLOCK_ROWS = 2048
 TASK_ROWS = 8192
@@ -151,11 +152,17 @@ def build_index(points: DataFrame, tag: str | None = None, seed: int | str = 0)
     spark = points.sparkSession
     # Read several times below; what it took to make it is paid once.
     points = materialize(points, "points")
-    size = points.agg(F.count("*").alias("n"), F.min(F.size("vec")).alias("lo"), F.max(F.size("vec")).alias("hi")).first()
+    size = points.agg(
+        F.count("*").alias("n"), F.min(F.size("vec")).alias("lo"), F.max(F.size("vec")).alias("hi"),
+        (F.count_distinct(tag) if tag else F.lit(1)).alias("tags"),
+    ).first()
     n, dim = size["n"], size["lo"]
     if n == 0 or dim != size["hi"]:
         raise ValueError("points must exist and have vectors of one length")
-    n_pivots = min(MAX_PIVOTS, max(1, math.ceil(n / PIVOT_ROWS)))
+    if size["tags"] > MAX_TAGS:
+        raise ValueError(f"{tag!r} has {size['tags']} values; at most {MAX_TAGS} classes or folds are supported")
+    most_blocks = min(MAX_BLOCKS, MAX_BLOCK_TAGS // max(1, size["tags"]))
+    n_pivots = min(MAX_PIVOTS, most_blocks, max(1, math.ceil(n / PIVOT_ROWS)))
     chosen = points.select("id", "vec").orderBy(seeded_hash(seed, "id"), "id").limit(n_pivots).collect()
     pivots = np.array([row["vec"] for row in chosen], dtype=float)
     centre = pivots.mean(axis=0)
@@ -174,7 +181,7 @@ def build_index(points: DataFrame, tag: str | None = None, seed: int | str = 0)
     )
     assigned = materialize(points.mapInPandas(assign, schema), "blocks")
 
-    block_rows = max(BLOCK_ROWS, math.ceil(n / MAX_BLOCKS))
+    block_rows = max(BLOCK_ROWS, math.ceil(n / most_blocks))
     cells = assigned.groupBy("cell").agg(
         F.count("*").alias("n"), F.min("radius").alias("lo"), F.max("radius").alias("hi")
     ).orderBy("cell").collect()
@@ -197,8 +204,6 @@ def build_index(points: DataFrame, tag: str | None = None, seed: int | str = 0)
         F.min("radius").alias("lo"), F.max("radius").alias("hi"),
     ).collect()
     tags = sorted({s[tag] for s in stats}) if tag else []
-    if len(tags) > MAX_TAGS:
-        raise ValueError(f"{tag!r} has {len(tags)} values; at most {MAX_TAGS} classes or folds are supported")
     column = {t: i for i, t in enumerate(tags)}
     count = np.zeros(first, dtype=np.int64)
     tag_count = np.zeros((first, max(1, len(tags))), dtype=np.int64)

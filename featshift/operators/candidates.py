@@ -22,12 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featshift.operators.blocks import row_slices
-from featshift.operators.rank import running_totals, seeded_rank
+from featshift.operators.rank import running_totals, seeded_rank, value_bucket
 from featshift.sources.pair import MISSING, ShiftPair
-from featshift.storage import fresh_path
+from featshift.storage import fresh_path, materialize
 
 BAD_ABOVE = 0.5
-_P_BUCKETS = 65536
 _SCORE_CELLS = 16_000_000
 
 
@@ -51,10 +50,8 @@ def worst_rows(scored: DataFrame, key: Sequence[str], quota: int, seed: int | st
     need ranking.
     """
     bad = scored.filter(F.col("p1") > BAD_ABOVE)
-    counts = bad.groupBy(F.col("p1").alias("_p")).agg(F.count("*").alias("_n"))
-    running = running_totals(
-        counts, {"_upto": F.col("_n")}, F.floor((1.0 - F.col("_p")) * _P_BUCKETS), [F.desc("_p")]
-    )
+    counts = materialize(bad.groupBy(F.col("p1").alias("_p")).agg(F.count("*").alias("_n")), "score-counts")
+    running = running_totals(counts, {"_upto": F.col("_n")}, -value_bucket(counts, "_p"), [F.desc("_p")])
     edge = running.filter(F.col("_upto") >= quota).agg(
         F.max("_p").alias("p"), F.max_by(F.col("_upto") - F.col("_n"), "_p").alias("above")
     ).first()

@@ -17,6 +17,7 @@ from featshift.functions.hashing import seeded_hash
 
 # 16**4 = 65,536 buckets: 10**12 rows leave about 15 million rows per window group.
 HEX_DIGITS = 4
+VALUE_BUCKETS = 256
 
 
 def running_totals(
@@ -54,6 +55,19 @@ def running_totals(
     return joined.drop("_bucket", *[f"_before_{n}" for n in measures])
 
 
+def value_bucket(values: DataFrame, column: str) -> Column:
+    """Bucket of a number, never decreasing with it: how many of 255 quantiles lie below it.
+
+    The quantiles only balance the buckets, so approximate ones do; fold equal values
+    first, or a frequent value fills its bucket.
+    """
+    levels = [i / VALUE_BUCKETS for i in range(1, VALUE_BUCKETS)]
+    splits = values.agg(F.percentile_approx(column, levels, 16 * VALUE_BUCKETS)).first()[0]
+    if not splits:
+        return F.lit(0)
+    return F.size(F.filter(F.lit(splits), lambda s: s < F.col(column)))
+
+
 def seeded_rank(
     df: DataFrame,
     key: Sequence[str],
