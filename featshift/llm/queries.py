@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featshift.catalog.base import Query, table
-from featshift.llm import pieces, quality, token_counts, warc
+from featshift.llm import minhash, pieces, quality, token_counts, warc
 from featshift.storage import fresh_path
 
 
@@ -49,6 +49,28 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer_path("byte_bpe_50k.tiktoken")).drop("text")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+SQL_OP9 = r"""WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' '))) END AS sh FROM w),
+p AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS t FROM s),
+f AS (SELECT *, count(*) OVER (PARTITION BY t) AS df FROM p),
+x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY df, t) AS k FROM f) WHERE k <= n - ceil(n * 0.85) + 1),
+c AS (SELECT DISTINCT a.doc_id AS u, b.doc_id AS v, a.n AS nu, b.n AS nv FROM x a JOIN x b ON a.t = b.t AND a.doc_id < b.doc_id
+      WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+o AS (SELECT u, v, nu, nv, count(*) AS n_both FROM c JOIN p a ON a.doc_id = u JOIN p b ON b.doc_id = v AND a.t = b.t GROUP BY ALL),
+e AS (SELECT u, v FROM o WHERE 100 * n_both >= 85 * (nu + nv - n_both)),
+e2 AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e2.v, r.c FROM r JOIN e2 ON e2.u = r.doc_id)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, CAST(m.c AS BIGINT) AS component_id, s.doc_id = m.c AS kept
+FROM s JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m ON m.doc_id = s.doc_id"""
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -59,5 +81,6 @@ QUERIES = [
     Query("op5_warc", op5_warc, SQL_OP5),
     Query("op7_pieces", op7_pieces),
     Query("op8_token_counts", op8_token_counts),
+    Query("op9_minhash", op9_minhash, SQL_OP9),
     Query("op10_quality", op10_quality),
 ]
