@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featshift.catalog.base import Query, table
-from featshift.llm import minhash, pieces, quality, token_counts, warc
+from featshift.llm import decontaminate, minhash, pieces, quality, token_counts, warc
 from featshift.storage import fresh_path
 
 
@@ -39,6 +39,32 @@ SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
 FROM f"""
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary, _ = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("item_ids", ","), 256)
+    return summary.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
+SQL_OP6 = r"""WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
+sizes AS (SELECT DISTINCT least(len(ws), 10) AS k FROM b WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, k, array_to_string(ws[i:i+k-1], ' ') AS w
+        FROM (SELECT item_id, ws, least(len(ws), 10) AS k, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) AS i FROM b WHERE len(ws) > 0)),
+runs AS (SELECT doc_id, k, i, array_to_string(ws[i:i+k-1], ' ') AS w
+         FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, sizes)),
+hits AS (SELECT doc_id, i, runs.k, item_id FROM runs JOIN win ON runs.k = win.k AND runs.w = win.w),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.encode_pieces(docs, tokenizer_path("piece_bpe_32k.model"), digests=True).drop("text")
@@ -79,6 +105,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     Query("op5_warc", op5_warc, SQL_OP5),
+    Query("op6_decontaminate", op6_decontaminate, SQL_OP6),
     Query("op7_pieces", op7_pieces),
     Query("op8_token_counts", op8_token_counts),
     Query("op9_minhash", op9_minhash, SQL_OP9),
