@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featshift.catalog.base import Query, table
-from featshift.llm import decontaminate, minhash, pieces, quality, token_counts, warc
+from featshift.llm import cap_filters, decontaminate, minhash, pieces, quality, token_counts, warc
 from featshift.storage import fresh_path
 
 
@@ -17,6 +17,22 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.cosine_groups(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+SQL_OP4 = """WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+n AS (SELECT *, sqrt(list_dot_product(v, v)) AS norm FROM v WHERE list_dot_product(v, v) > 0),
+e AS (SELECT a.vec_id AS u, b.vec_id AS w FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.v, b.v) >= 0.93 * a.norm * b.norm),
+r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT e.w, r.c FROM r JOIN e ON e.u = r.vec_id),
+m AS (SELECT vec_id, min(c) AS c FROM r GROUP BY vec_id),
+k AS (SELECT u, count(*) AS n_links FROM e GROUP BY u)
+SELECT m.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, CAST(m.c AS BIGINT) AS component_id, m.vec_id = m.c AS kept
+FROM m LEFT JOIN k ON k.u = m.vec_id"""
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the pages as WARC archives, then read the archives back."""
     folder = fresh_path(spark, "warc")
@@ -104,6 +120,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
+    Query("op4_cap_filters", op4_cap_filters, SQL_OP4),
     Query("op5_warc", op5_warc, SQL_OP5),
     Query("op6_decontaminate", op6_decontaminate, SQL_OP6),
     Query("op7_pieces", op7_pieces),
