@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featshift.catalog.base import Query, table
-from featshift.llm import cap_filters, decontaminate, minhash, pieces, quality, token_counts, warc
+from featshift.llm import cap_filters, decontaminate, line_dedup, minhash, pieces, quality, token_counts, warc
 from featshift.storage import fresh_path
 
 
@@ -17,6 +17,29 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+SQL_OP3 = r"""WITH l AS (
+  SELECT doc_id, i - 1 AS no, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
+w AS (SELECT doc_id, no, line, list_sort(list_distinct(list_filter(string_split_regex(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS ws FROM l),
+s AS (SELECT ws, len(ws) AS n, min(doc_id * 1000000 + no) AS first_at FROM w WHERE len(ws) > 0 GROUP BY ws),
+t AS (SELECT first_at, n, unnest(ws) AS t FROM s),
+f AS (SELECT *, row_number() OVER (PARTITION BY first_at ORDER BY df, t) AS k FROM (SELECT *, count(*) OVER (PARTITION BY t) AS df FROM t)),
+x AS (SELECT * FROM f WHERE k <= n - ceil(n * 0.8) + 1),
+c AS (SELECT DISTINCT b.first_at AS y, a.first_at AS x FROM x a JOIN x b ON a.t = b.t AND a.first_at < b.first_at AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80),
+m AS (SELECT DISTINCT y FROM (SELECT y, x, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n_both
+      FROM c JOIN t a ON a.first_at = y JOIN t b ON b.first_at = x AND a.t = b.t GROUP BY y, x) WHERE n_both * 100 >= (na + nb - n_both) * 80),
+g AS (SELECT w.*, first_at IS NOT NULL AND (doc_id * 1000000 + no <> first_at OR m.y IS NOT NULL) AS gone
+      FROM w LEFT JOIN s ON s.ws = w.ws LEFT JOIN m ON m.y = s.first_at)
+SELECT d.doc_id, CAST(count(line) AS BIGINT) AS n_lines, CAST(count(line) FILTER (gone) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
 def op4_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.cosine_groups(table(spark, sf_dir, "embeddings"), cosine=0.93)
 
@@ -120,6 +143,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
+    Query("op3_line_dedup", op3_line_dedup, SQL_OP3),
     Query("op4_cap_filters", op4_cap_filters, SQL_OP4),
     Query("op5_warc", op5_warc, SQL_OP5),
     Query("op6_decontaminate", op6_decontaminate, SQL_OP6),
