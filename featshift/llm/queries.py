@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featshift.catalog.base import Query, table
-from featshift.llm import cap_filters, decontaminate, line_dedup, minhash, pieces, quality, token_counts, warc
+from featshift.llm import cap_filters, decontaminate, line_dedup, minhash, pieces, ppm, quality, token_counts, warc
 from featshift.storage import fresh_path
 
 
@@ -17,6 +17,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~quality.held_out("doc_id", 0, 10)).alias("trained"))
+    scored = ppm.score_texts(docs, "trained")
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -143,6 +149,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
+    Query("op2_ppm", op2_ppm),
     Query("op3_line_dedup", op3_line_dedup, SQL_OP3),
     Query("op4_cap_filters", op4_cap_filters, SQL_OP4),
     Query("op5_warc", op5_warc, SQL_OP5),

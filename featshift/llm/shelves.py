@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from featshift.llm.arrays import flat, slices
 from featshift.storage import fresh_path
 
 #: Text per bucket.
@@ -27,3 +32,34 @@ def shelve(docs: DataFrame, key: str, buckets: int) -> DataFrame:
     name = f"shelf_{uuid.uuid4().hex}"
     docs.write.format("parquet").bucketBy(buckets, key).option("path", fresh_path(docs.sparkSession, "shelf")).saveAsTable(name)
     return docs.sparkSession.table(name)
+
+
+def packed(docs: DataFrame, text: str = "text", shard_bytes: int = 4 << 20) -> DataFrame:
+    """Rows packed into shards of about ``shard_bytes`` of text, one shard per row, kept in buckets by ``shard``.
+
+    A shard has the bytes of its texts one after the other (``data``), where each begins and
+    the end (``bounds``), and an array for every other column of ``docs``.
+    """
+    others = [f for f in docs.schema.fields if f.name != text]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 32
+        for k, batch in enumerate(slices(batches, text, shard_bytes)):
+            data, bounds = flat(batch.column(text))
+            made = [pa.array([first + k]), pa.array([bounds], pa.list_(pa.int64())), pa.array([data.tobytes()], pa.binary())]
+            made += [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(f.name)) for f in others]
+            yield pa.RecordBatch.from_arrays(made, names=["shard", "bounds", "data", *(f.name for f in others)])
+
+    schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("bounds", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
+    schema = T.StructType([*schema.fields, *(T.StructField(f.name, T.ArrayType(f.dataType)) for f in others)])
+    return shelve(docs.mapInArrow(task, schema), "shard", n_buckets(docs, text))
+
+
+def unpack(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, dict[str, pa.Array]]]:
+    """Shard, bytes, bounds and the other columns of each packed row."""
+    for k in range(batch.num_rows):
+        data = np.frombuffer(batch.column("data")[k].as_buffer(), dtype=np.uint8)
+        bounds = batch.column("bounds")[k].values.to_numpy()
+        yield batch.column("shard")[k].as_py(), data, bounds, {n: batch.column(n)[k] for n in batch.schema.names if n not in ("shard", "data", "bounds")}
