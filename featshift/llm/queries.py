@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featshift.catalog.base import Query, table
-from featshift.llm import cap_filters, decontaminate, line_dedup, minhash, pieces, ppm, quality, token_counts, warc
+from featshift.llm import cap_filters, decontaminate, line_dedup, minhash, pieces, ppm, quality, suffix_dedup, token_counts, warc
 from featshift.storage import fresh_path
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
 def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~quality.held_out("doc_id", 0, 10)).alias("trained"))
     scored = ppm.score_texts(docs, "trained")
@@ -149,6 +153,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
+    Query("op1_suffix_dedup", op1_suffix_dedup),
     Query("op2_ppm", op2_ppm),
     Query("op3_line_dedup", op3_line_dedup, SQL_OP3),
     Query("op4_cap_filters", op4_cap_filters, SQL_OP4),
