@@ -6,21 +6,25 @@ Everything is written below the folder the session names in
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_scope = ""
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local session without one gets its own."""
+    """The folder that all executors reach; only a session inside one process may go without the setting."""
     context = spark.sparkContext
     folder = spark.conf.get(_SETTING, None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise ValueError(f"set {_SETTING} to a folder that all executors can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="featshift-"))
     return context.getCheckpointDir()
@@ -32,13 +36,33 @@ def session_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{session_folder(spark)}/{_scope}{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Keep the tables stored meanwhile in a folder of their own, for ``drop_scope``."""
+    global _scope
+    outer, _scope = _scope, f"{name}/"
+    try:
+        yield
+    finally:
+        _scope = outer
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_scope(spark: SparkSession, name: str) -> None:
+    """Remove the tables stored in a scope; results read from them become unusable."""
+    _delete(spark, f"{session_folder(spark)}/{name}")
 
 
 def drop_stored_tables(spark: SparkSession) -> None:
     """Remove every table this application stored; results read from them become unusable."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, session_folder(spark))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -46,4 +70,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_path = path
+    return stored
+
+
+def forget(*stored: DataFrame) -> None:
+    """Remove tables that ``materialize`` returned; nothing that is still to be computed may read them."""
+    for df in stored:
+        _delete(df.sparkSession, df._stored_path)
