@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featshift.storage import materialize
+from featshift.storage import forget, materialize
 
 
 def _smaller_end(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def components(links: DataFrame) -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(lowest.hint("merge"), "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         small = small.unionByName(lowest.select("u", F.col("low").alias("v"))).filter("u <> v").distinct()
-        edges = materialize(small, "links")
+        edges, old = materialize(small, "links"), edges
+        forget(old)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             roots = edges.select(F.col("v").alias("node")).distinct()

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from featshift.llm.arrays import LOWER, flat, mix, slices, word_hashes
 from featshift.llm.links import components
-from featshift.storage import materialize
+from featshift.storage import forget, materialize
 
 SIDE, WIDTH = 10, 2
 #: Fewest of the ``2 * SIDE`` composite values that a pair worth verifying has in common; a
@@ -205,8 +205,7 @@ def near_duplicates(docs: DataFrame, size: int, percent: int, doc_id: str = "doc
     comp = components(links)
     placed = members.select("key", "id").join(comp.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
     placed = placed.select("key", "id", F.coalesce("component", "id").alias("comp"))
-    mixed, outside = _outside(materialize(placed, "buckets"), "key")
-    mixed = materialize(mixed, "buckets")
+    mixed = materialize(_outside(placed, "key")[0], "buckets")
     outside = mixed.filter("comp <> first")
     crowded = outside.groupBy("key").agg(F.count("*").alias("n_out")).filter(F.col("n_out") > OUTSIDE).drop("n_out")
     few = outside.join(crowded.hint("merge"), "key", "left_anti")
@@ -214,6 +213,7 @@ def near_duplicates(docs: DataFrame, size: int, percent: int, doc_id: str = "doc
     many = mixed.join(crowded.hint("merge"), "key", "left_semi").select("id", "comp").distinct()
     pairs = pairs.unionByName(_prefix_pairs(many, texts, size, percent)).distinct()
     more = materialize(_verified(materialize(_worth(pairs, nodes, percent), "pairs"), texts, size, percent), "links")
+    forget(members, mixed)
 
     comp = components(links.unionByName(more).unionByName(copies))
     out = found.select("id", F.col("n").alias("n_shingles")).join(comp.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
