@@ -23,7 +23,7 @@ from featshift.llm.arrays import RollingHash, flat, segment_sums, slices, word_s
 BITS = 16
 NGRAMS = (3, 4)
 #: Most labelled rows used for training, taken by the hash of their id.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 3000
 
 
 def _ngrams(data: np.ndarray, n: int, bits: int) -> np.ndarray:
@@ -80,13 +80,14 @@ class QualityModel:
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, dim: int = 8, epochs: int = 8, rate: float = 0.5, seed: int = 7) -> QualityModel:
-    """Fit ``(label, buckets, weights that sum to 1)`` rows; a class without rows gets no say."""
+    """Fit ``(label, buckets, counts)`` rows."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, size=(1 << bits, dim))
     output = np.zeros((2, dim))
     steps = epochs * len(rows)
     for step, k in enumerate(np.concatenate([rng.permutation(len(rows)) for _ in range(epochs)]) if rows else []):
-        label, buckets, weights = rows[k]
+        label, buckets, counts = rows[k]
+        weights = counts / counts.sum()
         now = rate * (1 - step / steps)
         hidden = weights @ vectors[buckets]
         logits = output @ hidden
@@ -125,12 +126,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
             kinds = list(features(data, bounds))
             made = [np.unique(np.concatenate([b[f[i] : f[i + 1]] for b, f in kinds]), return_counts=True) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.string()), batch.column("label"), pa.array([m[0].astype(np.int32) for m in made], pa.list_(pa.int32())), pa.array([m[1].astype(np.float32) for m in made], pa.list_(pa.float32()))],
+                [batch.column("doc_id").cast(pa.string()), batch.column("label"), *(pa.array([m[k].astype(np.int32).tobytes() for m in made], pa.binary()) for k in (0, 1))],
                 names=["doc_id", "label", "buckets", "counts"],
             )
 
-    found: pd.DataFrame = chosen.mapInArrow(task, "doc_id string, label int, buckets array<int>, counts array<float>").toPandas().sort_values("doc_id")
-    return train([(int(y), np.asarray(b), np.asarray(c) / np.sum(c)) for y, b, c in zip(found.label, found.buckets, found.counts, strict=True)])
+    found: pd.DataFrame = chosen.mapInArrow(task, "doc_id string, label int, buckets binary, counts binary").toPandas().sort_values("doc_id")
+    return train([(int(y), np.frombuffer(b, dtype=np.int32), np.frombuffer(c, dtype=np.int32)) for y, b, c in zip(found.label, found.buckets, found.counts, strict=True)])
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", score: str = "score", probability_from: float = 0.7, predicted: str = "predicted") -> DataFrame:
