@@ -21,7 +21,8 @@ BUCKET_BYTES = 16 << 20
 def n_buckets(docs: DataFrame, text: str, bucket_bytes: int = BUCKET_BYTES) -> int:
     """Buckets for the whole text of ``docs``, by one counting pass."""
     total = docs.agg(F.sum(F.octet_length(F.col(text)).cast("double"))).first()[0] or 0.0
-    return max(8, int(total // bucket_bytes) + 1)
+    # With fewer buckets than shuffle partitions Spark would shuffle both sides of a join after all.
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // bucket_bytes) + 1)
 
 
 def shelve(docs: DataFrame, key: str, buckets: int) -> DataFrame:

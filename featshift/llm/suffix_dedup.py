@@ -30,7 +30,8 @@ from featshift.llm.shelves import packed, unpack
 from featshift.storage import materialize
 
 #: Bytes of an anchor, as a share of the window.
-ANCHOR_SHARE = 0.5
+ANCHOR_SHARE = 0.65
+SHARD_BYTES = 2 << 20
 _BLOCK = np.dtype([("anchor", "<u8"), ("digest", "<u8")])
 
 
@@ -176,6 +177,19 @@ def _rows(shard: int, told: np.ndarray, cuts: np.ndarray) -> list[dict]:
     return [{"shard": shard, "part": k, "told": told[cuts[k] : cuts[k + 1]].tobytes()} for k in np.flatnonzero(np.diff(cuts)).tolist()]
 
 
+def _runs(positions: np.ndarray) -> bytes:
+    """Increasing positions as first and end of each run."""
+    cut = np.flatnonzero(np.diff(positions) != 1)
+    pairs = np.stack((positions[np.append(0, cut + 1)], positions[np.append(cut, len(positions) - 1)] + 1), axis=1) if len(positions) else np.zeros((0, 2))
+    return pairs.astype(np.int32).tobytes()
+
+
+def _positions(runs: bytes) -> np.ndarray:
+    pairs = np.frombuffer(runs, dtype=np.int32).reshape(-1, 2).astype(np.int64)
+    n = pairs[:, 1] - pairs[:, 0]
+    return np.repeat(pairs[:, 0], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 def _merge(told: DataFrame, name: str) -> DataFrame:
     """An answer to each entry of each shard.
 
@@ -224,7 +238,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", t
     runs as pairs of first byte and end. Null texts are empty; rows that repeat an id are
     texts of their own, so equal rows of ``length`` bytes or more lose everything.
     """
-    shards = packed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")))
+    shards = packed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), shard_bytes=SHARD_BYTES)
     parts = max(8, int(6 * math.sqrt(shards.count())))
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +271,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", t
                 edge = b.starts(abroad % 2 == 1)
                 found, cuts, _ = _distinct(b.fingerprints(edge, length), parts)
                 rows = _rows(shard, found, cuts)
-                yield pa.RecordBatch.from_pylist([*rows, {"shard": shard, "part": -1, "sure": np.flatnonzero(sure).astype(np.int32).tobytes(), "asked": edge.astype(np.int32).tobytes()}], schema)
+                yield pa.RecordBatch.from_pylist([*rows, {"shard": shard, "part": -1, "sure": _runs(np.flatnonzero(sure)), "asked": _runs(edge)}], schema)
 
     looked = shards.join(blocks.hint("shuffle_hash"), "shard", "left").mapInArrow(look, "shard long, part int, told binary, sure binary, asked binary")
     looked = materialize(looked, "repeats")
@@ -269,8 +283,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", t
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, bounds, more in unpack(batch):
-                starts = [np.frombuffer(more["sure"].as_py(), dtype=np.int32)]
-                edge = np.frombuffer(more["asked"].as_py(), dtype=np.int32).astype(np.int64)
+                starts = [_positions(more["sure"].as_py())]
+                edge = _positions(more["asked"].as_py())
                 if len(edge):
                     prints = np.empty(len(edge), dtype=_BLOCK)
                     for name, which in (("anchor", 0), ("digest", 1)):
