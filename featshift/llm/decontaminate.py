@@ -75,7 +75,8 @@ def contamination(
     length = F.size("window")
     met = at.join(_small(prefix, n_windows), "word").filter((start >= 0) & (start + length <= F.size("words")))
     met = met.select("doc_id", start.alias("first"), "window", F.slice("words", start + 1, length).alias("there"))
-    met = met.filter(F.transform("there", lower_ascii) == F.col("window"))
+    # Compared as joined text: a lambda here would break the fused stage, and every word would carry its whole document.
+    met = met.filter(lower_ascii(F.array_join("there", " ")) == F.array_join("window", " "))
     found = materialize(met.select("doc_id", "first", "window"), "hits")
     spans = found.join(_small(windows, n_windows), "window").select("doc_id", "first", (F.col("first") + F.size("window") - 1).alias("last"), "item").distinct()
 
