@@ -31,7 +31,9 @@ SIDE, WIDTH = 10, 2
 #: pair at similarity 0.8 has fewer with a probability below 1e-5.
 SHARED_VALUES = 4
 #: Beyond so many members outside its first component, a bucket goes to the prefix join.
-OUTSIDE = 64
+OUTSIDE = 32
+#: Rounds of comparing members that are still apart with one other member of their bucket.
+ROUNDS = 2
 _U = np.uint64
 _SALTS = np.random.default_rng(991).integers(1, 2**63, size=2 * SIDE * WIDTH, dtype=_U) * _U(2) + _U(1)
 _ORDER = np.random.default_rng(992).integers(1, 2**63, size=64, dtype=_U) * _U(2) + _U(1)
@@ -199,9 +201,20 @@ def near_duplicates(docs: DataFrame, size: int, percent: int, doc_id: str = "doc
     shared = keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("top")).filter("lead <> top").drop("top")
     members = materialize(keys.join(shared.hint("merge"), "key"), "buckets")
 
-    # First every member against the smallest of all that it meets.
+    # First every member against the smallest of all that it meets, then what is still apart
+    # in a bucket against members taken by a hash, another one each round.
     stars = members.filter("id <> lead").groupBy(F.col("id").alias("v")).agg(F.min("lead").alias("u")).select("u", "v")
     links = materialize(_verified(materialize(_worth(stars, nodes, percent), "pairs"), texts, size, percent), "links")
+    for turn in range(ROUNDS):
+        comp = components(links)
+        apart = members.select("key", "id").join(comp.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
+        apart = materialize(_outside(apart.select("key", "id", F.coalesce("component", "id").alias("comp")), "key")[0], "apart")
+        lead = apart.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(turn))).alias("l")).select("key", F.col("l.id").alias("lead"), F.col("l.comp").alias("lead_comp"))
+        tried = apart.join(lead.hint("merge"), "key").filter("comp <> lead_comp").groupBy("id").agg(F.min("lead").alias("a"), F.max("lead").alias("b"))
+        tried = tried.select("id", F.explode(F.array("a", "b")).alias("lead")).select(F.least("id", "lead").alias("u"), F.greatest("id", "lead").alias("v")).distinct()
+        met = materialize(_verified(materialize(_worth(tried, nodes, percent), "pairs"), texts, size, percent), "links")
+        links = materialize(links.unionByName(met), "links")
+        forget(apart, met)
     comp = components(links)
     placed = members.select("key", "id").join(comp.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
     placed = placed.select("key", "id", F.coalesce("component", "id").alias("comp"))
