@@ -101,7 +101,8 @@ class BlockMap:
         d = np.sqrt(squared_distances(a, b))
         near = d[:, self.pivot_of]
         low = np.maximum(0.0, np.maximum(near - self.outer, self.inner - near))
-        return Bounds(d, low, near + self.outer, slack)
+        # A ring without points bounds nothing from above.
+        return Bounds(d, low, np.where(self.count > 0, near + self.outer, np.inf), slack)
 
 
 @dataclass(frozen=True)

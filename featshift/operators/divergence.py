@@ -103,10 +103,10 @@ def bandwidth_manual(points: DataFrame) -> float:
     return points.agg(feature_deviations(points).alias("h")).first()["h"]
 
 
-def bandwidth_nn(points: DataFrame, k0: int = 10, sample_rows: int | None = 1000, seed: int | str = 0) -> float:
+def bandwidth_nn(points: DataFrame, k0: int = 10, sample_rows: int | None = None, seed: int | str = 0) -> float:
     """Mean distance to the k0-th neighbour, the point itself being the first.
 
-    Averaged over a seeded sample of ``sample_rows`` points (None: all of them); the
+    Averaged over all points, or a seeded sample of ``sample_rows``; the
     neighbours always come from the whole table.
     """
     probes = points.select("id", "vec")
@@ -166,11 +166,8 @@ def bandwidth_cv(points: DataFrame, folds: int = 20, seed: int | str = 0) -> flo
     return mark_best(density_scores(points, folds, seed=seed)).filter("is_best = 1").first()["bandwidth"]
 
 
-def bandwidth(points: DataFrame, rule: str = "auto", k0: int = 10) -> float:
-    """``auto``: neighbour distance for many rows or dimensions, else cross-validation."""
-    if rule == "auto":
-        large = check_dimension(points) >= 10 or points.count() >= 2000
-        rule = "nn" if large else "cv"
+def bandwidth(points: DataFrame, rule: str = "nn", k0: int = 10) -> float:
+    """By name: ``nn`` (neighbour distance), ``cv`` (cross-validation) or ``manual``, whatever the size of the table."""
     if rule == "nn":
         return bandwidth_nn(points, k0)
     if rule == "cv":
@@ -223,7 +220,7 @@ def ensemble_bayes_error(
     points: DataFrame,
     n: int = 3,
     h_range: tuple[float, float] = (1.0, 1.5),
-    rule: str = "auto",
+    rule: str = "nn",
     weights: str = "chebyshev",
     k0: int = 10,
     base: float | None = None,

@@ -94,6 +94,8 @@ def _merge(best: DataFrame) -> DataFrame:
         F.when((F.col("_back") == F.col("comp")) & (F.col("comp") < F.col("other")), F.col("comp")).otherwise(F.col("other")).alias("root"),
     )
     parents = materialize(hooked, "parents")
+    if parents.count() != best.count():
+        raise RuntimeError("a component has no edge to another one")
     while True:
         above = parents.select(F.col("comp").alias("root"), F.col("root").alias("_up"))
         jumped = materialize(

@@ -139,7 +139,8 @@ def test_bayes_errors_of_far_and_equal_classes(spark):
 
 def test_bandwidth_rules(spark):
     points = frame(spark, np.random.default_rng(7).normal(0, 1, (120, 2)))
-    assert D.bandwidth(points) == D.bandwidth_cv(points)
+    assert D.bandwidth(points, "cv") == D.bandwidth_cv(points)
+    assert D.bandwidth(points) == D.bandwidth_nn(points)
     assert D.bandwidth(points, "nn") == D.bandwidth_nn(points, 10) > 0
     with pytest.raises(ValueError):
         D.bandwidth(points, "guess")
