@@ -191,7 +191,7 @@ def test_warc_damage():
 
 
 def test_decontamination(spark, docs, rows, empty):
-    item = " ".join(rows[7][1].split()[5:25]).upper()
+    item = " ".join(rows[7][1].split()[5:25]).encode().upper().decode()
     items = spark.createDataFrame([(1, item), (2, "A, b!"), (3, None), (4, "..."), (None, "a"), (1, item)], "item_id long, text string")
     summary, _ = decontaminate.contamination(docs, items)
     got = {r.doc_id: r for r in summary.collect()}
