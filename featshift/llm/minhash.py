@@ -145,18 +145,22 @@ def _outside(rows: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
     return mixed, mixed.filter("comp <> first")
 
 
-def _cross_pairs(outside: DataFrame, mixed: DataFrame, on: str) -> DataFrame:
-    """Pairs of a row outside its group's first component with any row of another component."""
-    left = outside.select(on, F.col("id").alias("x"), F.col("comp").alias("cx"))
-    right = mixed.select(on, F.col("id").alias("y"), F.col("comp").alias("cy"))
-    pairs = left.join(right.hint("merge"), on).filter("cx <> cy")
+def _cross_pairs(outside: DataFrame, mixed: DataFrame, on: str, possible: str = "true") -> DataFrame:
+    """Pairs of a row outside its group's first component with any row of another component.
+
+    ``possible`` is a condition on columns of the two rows, their names with an x or a y behind.
+    """
+    left = outside.select(on, *(F.col(c).alias(f"{c}_x") for c in outside.columns if c != on))
+    right = mixed.select(on, *(F.col(c).alias(f"{c}_y") for c in mixed.columns if c != on))
+    pairs = left.join(right.hint("merge"), on).filter(f"comp_x <> comp_y and {possible}").select(F.col("id_x").alias("x"), F.col("id_y").alias("y"))
     return pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
 
 def _prefix_pairs(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs of ``rows`` (id, comp) in different components that can meet the bound, by rare shingles.
 
-    Two sets that meet it share a shingle among the rarest ``n - ceil(percent * n) + 1`` of either.
+    Two sets that meet it share a shingle among the rarest ``n - ceil(percent * n) + 1`` of either,
+    are of similar sizes, and have enough shingles left behind the first that they share.
     """
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -172,9 +176,11 @@ def _prefix_pairs(rows: DataFrame, docs: DataFrame, size: int, percent: int) ->
     # The order inside a document is a sort of its own tokens only.
     by_doc = counted.groupBy("id", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     keep = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    prefix = by_doc.select("id", "comp", F.explode(F.slice("t", 1, keep)["token"]).alias("token"))
+    prefix = by_doc.select("id", "comp", "n", F.posexplode(F.slice("t", 1, keep)["token"]).alias("pos", "token"))
     mixed, outside = _outside(materialize(prefix, "prefix"), "token")
-    return _cross_pairs(outside, mixed, "token")
+    sizes = f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
+    left_over = f"{100 + percent} * least(n_x - pos_x, n_y - pos_y) >= {percent} * (n_x + n_y)"
+    return _cross_pairs(outside, mixed, "token", f"{sizes} and {left_over}")
 
 
 def near_duplicates(docs: DataFrame, size: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
