@@ -74,9 +74,11 @@ def correction_blocks(pair: ShiftPair, batch_size: int, seed: int | str = 0) ->
 
     A query row belongs to the block of the reference row it is aligned with. A longer
     query goes round the reference again (``lap``), so that a (block, lap) group holds
-    fewer than two batches of query rows however the sizes differ.
+    fewer than two batches of query rows however the sizes differ. A shorter query is
+    stretched over the reference: its rows share out all reference ranks, and a row has
+    one line for every block that its share touches, so no block is without query rows.
     """
-    n_ref = pair.reference.count()
+    n_ref, n_que = pair.reference.count(), pair.query.count()
     last = n_batches(n_ref, batch_size) - 1
     ref = seeded_rank(pair.reference.select(*pair.key), pair.key, f"{seed}:reference")
     que = seeded_rank(pair.query.select(*pair.key), pair.key, f"{seed}:query")
@@ -84,9 +86,17 @@ def correction_blocks(pair: ShiftPair, batch_size: int, seed: int | str = 0) ->
     def block(rank):
         return F.least(F.floor((rank - 1) / batch_size), F.lit(last)).cast("int").alias("block")
 
+    ref = ref.select(*pair.key, "rank", block(F.col("rank")))
+    if 0 < n_que < n_ref:
+        def before(rank: str):
+            """Reference rows that belong to query rows of a smaller rank; decimals, as the product may pass 2^63."""
+            return F.expr(f"CAST({rank} - 1 AS DECIMAL(19, 0)) * {n_ref}BD div {n_que}BD")
+
+        touched = F.sequence(block(before("rank") + 1), block(before("(rank + 1)")))
+        return ref, que.select(*pair.key, "rank", F.explode(touched).alias("block"), F.lit(0).alias("lap"))
     aligned = (F.col("rank") - 1) % n_ref + 1
     lap = F.floor((F.col("rank") - 1) / n_ref).cast("int").alias("lap")
-    return ref.select(*pair.key, "rank", block(F.col("rank"))), que.select(*pair.key, "rank", block(aligned), lap)
+    return ref, que.select(*pair.key, "rank", block(aligned), lap)
 
 
 # --- models as sums of products ----------------------------------------------------------------
@@ -199,13 +209,19 @@ def split_model(model: Model, features: Sequence[str], clean: Sequence[str], cor
 
 def best_candidates(scorer: SplitScorer, x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """For every row of ``x`` the first candidate of ``c`` with the lowest score."""
+    return lowest_scores(scorer, x, c)[0]
+
+
+def lowest_scores(scorer: SplitScorer, x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The choice of :func:`best_candidates` and its scores."""
     rows, row_of = np.unique(x, axis=0, return_inverse=True)
     _, first = np.unique(c, axis=0, return_index=True)
     first.sort()
-    best = np.empty(len(rows), dtype=np.int64)
+    best, lowest = np.empty(len(rows), dtype=np.int64), np.empty(len(rows))
     for part in row_slices(len(rows), len(first), cells=_SCORE_CELLS):
-        best[part] = first[scorer.scores(rows[part], c[first]).argmin(axis=1)]
-    return best[row_of.ravel()]
+        scores = scorer.scores(rows[part], c[first])
+        best[part], lowest[part] = first[scores.argmin(axis=1)], scores.min(axis=1)
+    return best[row_of.ravel()], lowest[row_of.ravel()]
 
 
 def candidate_argmin(
@@ -216,17 +232,18 @@ def candidate_argmin(
     corrupted: Sequence[str],
     scorers: dict[int, SplitScorer],
 ) -> DataFrame:
-    """``(key, source, corrupted...)``: the candidate of the row's block with the lowest score.
+    """``(key, source, corrupted...)``: the candidate of the row's blocks with the lowest score.
 
     ``rows`` need ``block, lap, half`` and the clean columns, ``candidates`` need ``block,
-    lap, source, candidate`` (together unique) and the corrupted columns. Equal scores go to
-    the smaller (source, candidate).
+    lap, source, candidate`` (together unique) and the corrupted columns. A key may have a line
+    for each of several blocks. Equal scores go to the smaller (source, candidate).
     """
     key, clean, corrupted = list(key), list(clean), list(corrupted)
-    names = [*key, "source", *corrupted]
+    names = [*key, "source", *corrupted, "_candidate", "_score"]
     schema = T.StructType(
         [*[rows.schema[c] for c in key], T.StructField("source", candidates.schema["source"].dataType),
-         *[T.StructField(c, T.DoubleType()) for c in corrupted]]
+         *[T.StructField(c, T.DoubleType()) for c in corrupted],
+         T.StructField("_candidate", candidates.schema["candidate"].dataType), T.StructField("_score", T.DoubleType())]
     )
 
     def values(df: pd.DataFrame, columns: list[str]) -> np.ndarray:
@@ -237,18 +254,22 @@ def candidate_argmin(
             return pd.DataFrame(columns=names)
         right = right.sort_values(["source", "candidate"], ignore_index=True)
         offered = values(right, corrupted)
-        picked = np.empty(len(left), dtype=np.int64)
+        picked, lowest = np.empty(len(left), dtype=np.int64), np.empty(len(left))
         for half, scorer in scorers.items():
             mine = np.flatnonzero(left["half"].to_numpy() == half)
             if len(mine):
                 known = np.nan_to_num(values(left.iloc[mine], clean), nan=MISSING)
-                picked[mine] = best_candidates(scorer, known, np.nan_to_num(offered, nan=MISSING))
+                picked[mine], lowest[mine] = lowest_scores(scorer, known, np.nan_to_num(offered, nan=MISSING))
         out = left[key].copy()
         out["source"] = right["source"].to_numpy()[picked]
         for i, c in enumerate(corrupted):
             out[c] = offered[picked, i]
+        out["_candidate"], out["_score"] = right["candidate"].to_numpy()[picked], lowest
         return out[names]
 
     left = rows.select("block", "lap", "half", *key, *clean)
     right = candidates.select("block", "lap", "source", "candidate", *corrupted)
-    return left.groupBy("block", "lap").cogroup(right.groupBy("block", "lap")).applyInPandas(choose, schema)
+    found = left.groupBy("block", "lap").cogroup(right.groupBy("block", "lap")).applyInPandas(choose, schema)
+    order = F.struct("_score", "source", "_candidate")
+    best = found.groupBy(*key).agg(F.min_by(F.struct("source", *corrupted), order).alias("_best"))
+    return best.select(*key, "_best.*")
