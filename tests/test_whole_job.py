@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from featshift import ShiftPair
+from featshift import CorrectConfig, ShiftPair
 from featshift.operators.candidates import SplitScorer, Term, candidate_argmin, correction_blocks
+from featshift.plans import correct
 from featshift.plans.correct import iteration_candidates
 
 
@@ -43,3 +44,18 @@ def test_every_reference_row_is_offered_to_a_short_query(spark, n_que):
         mine = offered[offered["block"].isin(blocks)].assign(score=lambda o: (a[one] - o["b"]) ** 2)
         want[one] = mine.sort_values(["score", "source", "candidate"]).iloc[0][["source", "b"]].tolist()
     assert {r.id: [r.source, r.b] for r in got.itertuples()} == want
+
+
+def test_one_batch_size_for_every_reference(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def blocks(pair, batch_size, seed):
+        raise Seen(batch_size)
+
+    monkeypatch.setattr(correct, "correction_blocks", blocks)
+    pair = long_pair(spark, 1, 1)
+    for n_ref, batch in ((400, 400), (15000, 5000), (15001, 5000), (10**9, 5000)):
+        with pytest.raises(Seen) as seen:
+            correct._run_epochs(pair, ["b"], ["a"], CorrectConfig(), n_ref, 1, [])
+        assert seen.value.args == (batch,)
