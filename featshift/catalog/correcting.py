@@ -13,7 +13,7 @@ from featshift.catalog.base import (
 from featshift.catalog.locating import shifted_lineitem
 from featshift.config import CorrectConfig
 from featshift.operators.candidates import (
-    SplitScorer, Term, bad_row_counts, candidate_argmin, correction_blocks, worst_rows,
+    SplitScorer, Term, bad_row_counts, candidate_argmin, correction_blocks, in_every_lap, worst_rows,
 )
 from featshift.operators.discriminate import assemble, boosted_trees, score_rows
 from featshift.operators.prepare import half_split
@@ -113,8 +113,9 @@ def argmin(spark: SparkSession, d: str) -> DataFrame:
     ref_blocks, que_blocks = correction_blocks(pair, BATCH, 3)
     rows = pair.query.join(que_blocks, list(LI_KEY)).withColumn("half", F.lit(0))
     offered = pair.reference.join(ref_blocks, list(LI_KEY)).select(
-        "block", F.lit(0).alias("lap"), F.lit(0).alias("source"), F.col("rank").alias("candidate"), "y"
+        "block", F.lit(0).alias("source"), F.col("rank").alias("candidate"), "y"
     )
+    offered = in_every_lap(offered, pair.reference.count(), pair.query.count())
     best = candidate_argmin(rows, offered, LI_KEY, ["x"], ["y"], {0: closed_form_scorer()})
     return best.select(*LI_KEY, long("source").alias("source"), r("y").alias("y"))
 

@@ -99,6 +99,12 @@ def correction_blocks(pair: ShiftPair, batch_size: int, seed: int | str = 0) ->
     return ref, que.select(*pair.key, "rank", block(aligned), lap)
 
 
+def in_every_lap(candidates: DataFrame, n_reference: int, n_query: int) -> DataFrame:
+    """Candidates of a block once for each ``lap`` that the query goes round the reference."""
+    laps = max(1, -(-n_query // n_reference))
+    return candidates.withColumn("lap", F.explode(F.sequence(F.lit(0), F.lit(laps - 1))))
+
+
 # --- models as sums of products ----------------------------------------------------------------
 
 
@@ -236,7 +242,8 @@ def candidate_argmin(
 
     ``rows`` need ``block, lap, half`` and the clean columns, ``candidates`` need ``block,
     lap, source, candidate`` (together unique) and the corrupted columns. A key may have a line
-    for each of several blocks. Equal scores go to the smaller (source, candidate).
+    for each of several blocks. Equal scores go to the smaller (source, candidate). Rows of a
+    block and lap without candidates are an error.
     """
     key, clean, corrupted = list(key), list(clean), list(corrupted)
     names = [*key, "source", *corrupted, "_candidate", "_score"]
@@ -250,8 +257,11 @@ def candidate_argmin(
         return df[columns].to_numpy(dtype=float, na_value=np.nan)
 
     def choose(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
+        if left.empty:
             return pd.DataFrame(columns=names)
+        if right.empty:
+            block, lap = left["block"].iloc[0], left["lap"].iloc[0]
+            raise ValueError(f"{len(left)} rows without candidates in block {block}, lap {lap}")
         right = right.sort_values(["source", "candidate"], ignore_index=True)
         offered = values(right, corrupted)
         picked, lowest = np.empty(len(left), dtype=np.int64), np.empty(len(left))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from featshift import CorrectConfig, ShiftPair
 from featshift.operators.candidates import SplitScorer, Term, candidate_argmin, correction_blocks
 from featshift.plans import correct
 from featshift.plans.correct import iteration_candidates
+from tools.compare import compare_frames
 
 
 def distance_scorer() -> SplitScorer:
@@ -33,7 +36,7 @@ def test_every_reference_row_is_offered_to_a_short_query(spark, n_que):
     shares = que.toPandas()
     assert set(shares["block"]) == set(range(10)) and set(shares["id"]) == set(range(n_que))
     assert not shares.duplicated(["id", "block"]).any() and shares.groupby("block").size().max() < 200
-    offered = iteration_candidates(pair, ["b"], ref, que, None, 1, "0").toPandas()
+    offered = iteration_candidates(pair, ["b"], ref, que, None, 1000, n_que, "0").toPandas()
     assert len(offered) == 2000
     rows = pair.query.join(que, "id").withColumn("half", F.lit(0))
     got = candidate_argmin(rows, spark.createDataFrame(offered), ["id"], ["a"], ["b"], {0: distance_scorer()}).toPandas()
@@ -59,3 +62,22 @@ def test_one_batch_size_for_every_reference(spark, monkeypatch):
         with pytest.raises(Seen) as seen:
             correct._run_epochs(pair, ["b"], ["a"], CorrectConfig(), n_ref, 1, [])
         assert seen.value.args == (batch,)
+
+
+def test_candidates_for_an_odd_number_of_rows(spark, sf_dir, tmp_path):
+    db = duckdb.connect()
+    n = db.execute(f"SELECT count(*) FROM '{sf_dir}/lineitem.parquet'").fetchone()[0]
+    assert n % 2 == 0
+    odd = tmp_path / "lineitem.parquet"
+    db.execute(f"COPY (SELECT * FROM '{sf_dir}/lineitem.parquet' ORDER BY ALL LIMIT {n - 1}) TO '{odd}' (FORMAT parquet)")
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{odd}'")
+    got = contract.queries()["candidate_argmin"](spark, str(tmp_path)).toPandas()
+    assert len(got) == n // 2
+    assert compare_frames(got, db.execute(contract.oracle_sql()["candidate_argmin"]).df()) == ""
+
+
+def test_rows_without_candidates_are_an_error(spark):
+    rows = spark.createDataFrame([(1, 0, 0, 0, 1.0), (2, 0, 1, 0, 1.0)], "id int, block int, lap int, half int, a double")
+    offered = spark.createDataFrame([(0, 0, 0, 1, 2.0)], "block int, lap int, source int, candidate int, b double")
+    with pytest.raises(Exception, match="1 rows without candidates in block 0, lap 1"):
+        candidate_argmin(rows, offered, ["id"], ["a"], ["b"], {0: distance_scorer()}).collect()
