@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featshift.catalog.base import (
-    LI_FEATURES, SQL_EM, SQL_LI_HALVES, Query, embeddings, events, lineitem_pair, long, r, scored_events, sql_rank,
+    EV_FEATURES, LI_FEATURES, SQL_EM, SQL_EV, SQL_LI_HALVES, Query, embeddings, events, lineitem_pair, long, r, scored_events, sql_rank,
     sql_scored,
 )
 from featshift.catalog.locating import shifted_lineitem
+from featshift.catalog.preparation import pair_with_gaps
 from featshift.catalog.scoring import _CORRECT_P, _clipped, _jd, _kl
 from featshift.functions.hashing import unit_directions
 from featshift.functions.weights import ensemble_weights
@@ -121,6 +122,28 @@ def per_feature(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def knn_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours on events of which some have no value (NULL or NaN)."""
+    reference, query = D.as_points(pair_with_gaps(spark, d))
+    return knn_join(query, reference, K).select("id", "neighbour", long("rank").alias("rank"), r("distance").alias("distance"))
+
+
+def per_feature_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return feature_wasserstein(pair_with_gaps(spark, d)).select(
+        "feature", long("position").alias("position"), r("distance", 6).alias("distance")
+    )
+
+
+def tv_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Rows scored per label (all, once each) next to the metric's count and range."""
+    value, scored = D.discriminator_divergence(pair_with_gaps(spark, d), logistic())
+    seen = value.select(F.col("value").between(0.0, 1.0).cast("bigint").alias("in_range"))
+    return scored.groupBy(long("label").alias("label")).agg(
+        F.count("*").alias("n_rows"), F.count_distinct("event_id").alias("n_keys"),
+        F.count_if(F.col("p1").between(0.0, 1.0)).alias("n_scored"),
+    ).crossJoin(seen)
+
+
 def mst(spark: SparkSession, d: str) -> DataFrame:
     return spanning_divergence(*_sides(spark, d)).select(
         "n", "edges", r("total_weight").alias("total_weight"), "cross_edges", r("divergence").alias("divergence")
@@ -162,6 +185,12 @@ ref AS (SELECT * FROM ev WHERE early), que AS (SELECT * FROM ev WHERE NOT early)
 _EV_DIST = "sqrt((a.h - b.h) * (a.h - b.h) + (a.k - b.k) * (a.k - b.k))"
 
 
+_GAPS = f"""WITH {SQL_EV},
+gv AS (SELECT event_id, ts, CASE WHEN event_id % 17 = 0 OR event_id % 19 = 0 THEN -1.0 ELSE value END AS value, hour, k FROM ev),
+ref AS (SELECT * FROM gv WHERE ts < TIMESTAMP '2024-01-16'), que AS (SELECT * FROM gv WHERE NOT (ts < TIMESTAMP '2024-01-16'))"""
+_GAPS_DIST = "sqrt((a.value - b.value) * (a.value - b.value) + (a.hour - b.hour) * (a.hour - b.hour) + (a.k - b.k) * (a.k - b.k))"
+
+
 def _kl_sql(p: str, q: str, name: str) -> str:
     return f"""{name}_nu AS (SELECT id, distance AS nu FROM ({_nearest_sql(p, q, 'vec_id', _DIST, K)}) WHERE rank = {K}),
 {name}_rho AS (SELECT id, distance AS rho FROM ({_nearest_sql(p, p, 'vec_id', _DIST, K, 'a.vec_id <> b.vec_id')}) WHERE rank = {K}),
@@ -244,6 +273,10 @@ _FEATURE_VALUES = f"WITH {SQL_LI_HALVES}, vals AS (" + " UNION ALL ".join(
     f"SELECT {i} AS proj, {s} AS side, {c} AS v FROM {t}" for i, c in enumerate(LI_FEATURES) for s, t in ((0, "ref"), (1, "que"))
 ) + ")"
 
+_GAPS_VALUES = f"{_GAPS}, vals AS (" + " UNION ALL ".join(
+    f"SELECT {i} AS proj, {s} AS side, CAST({c} AS DOUBLE) AS v FROM {t}" for i, c in enumerate(EV_FEATURES) for s, t in ((0, "ref"), (1, "que"))
+) + ")"
+
 # An edge belongs to the minimum spanning tree when no path between its ends has a smaller longest
 # edge; squaring the (min, max) matrix nine times covers paths of up to 512 edges.
 _MST = f"""WITH {SQL_EM},
@@ -277,6 +310,11 @@ SELECT round(x.kl, 4) + 0.0 AS kl_p_q, round(y.kl, 4) + 0.0 AS kl_q_p, round(x.k
     Query("ber_kde", ber_kde, _KDE),
     Query("sliced_wasserstein", sliced, _transport_sql(_directions_sql(), "SELECT count(*) AS n_projections, round(sqrt(avg(c)), 6) + 0.0 AS distance FROM cost")),
     Query("feature_wasserstein", per_feature, _transport_sql(_FEATURE_VALUES, "SELECT CASE proj " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(LI_FEATURES)) + " END AS feature, CAST(proj AS BIGINT) AS position, round(sqrt(c), 6) + 0.0 AS distance FROM cost")),
+    Query("knn_join_missing", knn_gaps, f"{_GAPS} SELECT id, neighbour, rank, round(distance, 4) + 0.0 AS distance FROM ({_nearest_sql('que', 'ref', 'event_id', _GAPS_DIST, K)})"),
+    Query("feature_wasserstein_missing", per_feature_gaps, _transport_sql(_GAPS_VALUES, "SELECT CASE proj " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(EV_FEATURES)) + " END AS feature, CAST(proj AS BIGINT) AS position, round(sqrt(c), 6) + 0.0 AS distance FROM cost")),
+    Query("divergence_tv_missing", tv_gaps, f"""{_GAPS}
+SELECT CAST(0 AS BIGINT) AS label, count(*) AS n_rows, count(*) AS n_keys, count(*) AS n_scored, CAST(1 AS BIGINT) AS in_range FROM ref
+UNION ALL SELECT CAST(1 AS BIGINT), count(*), count(*), count(*), CAST(1 AS BIGINT) FROM que"""),
     Query("mst_divergence", mst, f"{_MST} SELECT n, edges, round(total_weight, 4) + 0.0 AS total_weight, cross_edges, round(u, 4) + 0.0 AS divergence FROM res"),
     Query("ghp_bounds", ghp, f"{_MST} SELECT round(0.5 - sqrt(u) / 2, 4) + 0.0 AS lower, round(0.5 - u / 2, 4) + 0.0 AS upper FROM res"),
     Query("divergence_tv", tv),

@@ -48,6 +48,11 @@ def _with_gaps(spark: SparkSession, d: str) -> DataFrame:
                            .when(F.col("event_id") % 19 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
 
 
+def pair_with_gaps(spark: SparkSession, d: str) -> ShiftPair:
+    before = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    return ShiftPair.from_predicate(_with_gaps(spark, d), before, EV_KEY, EV_FEATURES)
+
+
 def missing_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_missing(_with_gaps(spark, d), EV_FEATURES).select("event_id", *rounded(EV_FEATURES))
 

@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,6 +115,17 @@ class BlockIndex:
     n: int
 
 
+def non_finite() -> Column:
+    """How many vectors are missing or hold NULL, NaN or an infinity; no distance to them can be compared."""
+    held = F.forall("vec", lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+    return F.count_if(~F.coalesce(held, F.lit(False)))
+
+
+def require_finite(n: int, what: str) -> None:
+    if n:
+        raise ValueError(f"{n} {what} have missing or non-finite values; fill or drop them first")
+
+
 def check_dimension(*tables: DataFrame) -> int:
     """The common vector length of all tables; raises when lengths differ."""
     seen: set[int] = set()
@@ -127,7 +138,10 @@ def check_dimension(*tables: DataFrame) -> int:
 
 
 def require_dimension(queries: DataFrame, dim: int) -> None:
-    found = queries.agg(F.min(F.size("vec")).alias("lo"), F.max(F.size("vec")).alias("hi")).first()
+    found = queries.agg(
+        F.min(F.size("vec")).alias("lo"), F.max(F.size("vec")).alias("hi"), non_finite().alias("gaps")
+    ).first()
+    require_finite(found["gaps"], "query vectors")
     if {found["lo"], found["hi"]} - {dim, None}:
         raise ValueError(f"query vectors have length {found['lo']} to {found['hi']}, points {dim}")
 
@@ -156,7 +170,9 @@ def build_index(points: DataFrame, tag: str | None = None, seed: int | str = 0)
     size = points.agg(
         F.count("*").alias("n"), F.min(F.size("vec")).alias("lo"), F.max(F.size("vec")).alias("hi"),
         (F.count_distinct(tag) if tag else F.lit(1)).alias("tags"),
+        non_finite().alias("gaps"),
     ).first()
+    require_finite(size["gaps"], "vectors")
     n, dim = size["n"], size["lo"]
     if n == 0 or dim != size["hi"]:
         raise ValueError("points must exist and have vectors of one length")

@@ -27,7 +27,8 @@ from featshift.sources.pair import ShiftPair
 
 
 def as_points(pair: ShiftPair) -> tuple[DataFrame, DataFrame]:
-    """Reference and query with their features in one vector and a single ``id`` column."""
+    """Reference and query with their features, missing values filled, in one vector and a single ``id`` column."""
+    pair = pair.with_missing_filled()
     key = F.col(pair.key[0]) if len(pair.key) == 1 else F.concat_ws(":", *pair.key)
     vec = F.array(*[F.col(c).cast("double") for c in pair.features])
     return tuple(df.select(key.alias("id"), vec.alias("vec")) for df in (pair.reference, pair.query))
@@ -293,13 +294,13 @@ def kde_bayes_error(points: DataFrame, bandwidth: float, seed: int | str = 0) ->
 
 def discriminator_divergence(pair: ShiftPair, estimator: Estimator | None = None, k: int = 5, seed: int | str = 0) -> tuple[DataFrame, DataFrame]:
     """Total variation seen by a cross-validated discriminator, and the scored rows."""
-    scored = out_of_fold(pair, estimator or logistic(), k, seed)
+    scored = out_of_fold(pair.with_missing_filled(), estimator or logistic(), k, seed)
     return evaluate(scored, ["TV"], columns=Scored(clip=CORRECT_CLIP)), scored
 
 
 def discriminator_panel(pair: ShiftPair, estimator: Estimator | None = None, k: int = 5, seed: int | str = 0) -> tuple[DataFrame, DataFrame]:
     """TV, JSD, JSD of the other class and SKL from one set of out-of-fold probabilities."""
-    scored = out_of_fold(pair, estimator or logistic(), k, seed)
+    scored = out_of_fold(pair.with_missing_filled(), estimator or logistic(), k, seed)
     return panel(scored), scored
 
 

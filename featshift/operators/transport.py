@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from featshift.functions.hashing import unit_directions
-from featshift.operators.blocks import check_dimension, matrix
+from featshift.operators.blocks import check_dimension, matrix, non_finite, require_finite
 from featshift.operators.rank import running_totals
 from featshift.sources.pair import ShiftPair
 from featshift.storage import materialize
@@ -59,7 +59,10 @@ def directional_wasserstein(
     # Read three times below; what it took to make the vectors is paid once.
     both = materialize(both, "vectors")
     size = F.size("vec")
-    sides = both.groupBy("side").agg(F.count("*").alias("n"), F.min(size).alias("lo"), F.max(size).alias("hi")).collect()
+    sides = both.groupBy("side").agg(
+        F.count("*").alias("n"), F.min(size).alias("lo"), F.max(size).alias("hi"), non_finite().alias("gaps")
+    ).collect()
+    require_finite(sum(s["gaps"] for s in sides), "vectors")
     n = {0: 0, 1: 0} | {s["side"]: s["n"] for s in sides}
     if any(length != axes.shape[1] for s in sides for length in (s["lo"], s["hi"])):
         raise ValueError("directions and vectors differ in length")
@@ -103,7 +106,9 @@ def sliced_wasserstein(reference: DataFrame, query: DataFrame, n_projections: in
 
 
 def feature_wasserstein(pair: ShiftPair) -> DataFrame:
-    """``(feature, position, distance)``: exact transport distance of every single feature."""
+    """``(feature, position, distance)``: exact transport distance of every single feature, missing values filled."""
+    pair = pair.with_missing_filled()
+
     def side(df: DataFrame) -> DataFrame:
         return df.select(F.array(*[F.col(c).cast("double") for c in pair.features]).alias("vec"))
 

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from featshift import CorrectConfig, ShiftPair
+from featshift.operators.blocks import knn_join
 from featshift.operators.candidates import SplitScorer, Term, candidate_argmin, correction_blocks
 from featshift.plans import correct
 from featshift.plans.correct import iteration_candidates
+from featshift.operators.transport import directional_wasserstein
 from tools.compare import compare_frames
 
 
@@ -81,3 +83,14 @@ def test_rows_without_candidates_are_an_error(spark):
     offered = spark.createDataFrame([(0, 0, 0, 1, 2.0)], "block int, lap int, source int, candidate int, b double")
     with pytest.raises(Exception, match="1 rows without candidates in block 0, lap 1"):
         candidate_argmin(rows, offered, ["id"], ["a"], ["b"], {0: distance_scorer()}).collect()
+
+
+@pytest.mark.parametrize("wrong", [None, float("nan"), float("inf")])
+def test_vectors_without_a_finite_value_are_refused(spark, wrong):
+    good = spark.createDataFrame([(1, [0.0, 1.0]), (2, [2.0, 1.0])], "id int, vec array<double>")
+    bad = spark.createDataFrame([(1, [0.0, wrong]), (2, [2.0, 1.0])], "id int, vec array<double>")
+    for left, right in ((good, bad), (bad, good)):
+        with pytest.raises(ValueError, match="1 .*vectors have missing or non-finite"):
+            knn_join(left, right, 1)
+        with pytest.raises(ValueError, match="1 vectors have missing or non-finite"):
+            directional_wasserstein(left, right, np.eye(2))
