@@ -15,7 +15,7 @@ from featshift.config import CorrectConfig
 from featshift.operators.candidates import (
     SplitScorer, Term, bad_row_counts, candidate_argmin, correction_blocks, in_every_lap, worst_rows,
 )
-from featshift.operators.discriminate import assemble, boosted_trees, score_rows
+from featshift.operators.discriminate import assemble, score_rows
 from featshift.operators.prepare import half_split
 from featshift.operators.proposals import (
     best_proposal, correction_training_set, propose_aligned, propose_knn, propose_linear, propose_permuted, query_halves,
@@ -26,10 +26,6 @@ BATCH = 3000
 CORRUPTED = ("l_quantity", "l_discount")
 
 
-def small_config() -> CorrectConfig:
-    return CorrectConfig(base_classifier=boosted_trees(10, 4))
-
-
 def aligned(spark: SparkSession, d: str) -> DataFrame:
     return propose_aligned(lineitem_pair(spark, d, stored=True), CORRUPTED, 2).select(*LI_KEY, *rounded(CORRUPTED))
 
@@ -79,6 +75,13 @@ def quota(spark: SparkSession, d: str) -> DataFrame:
     return worst.select("event_id", r("p1").alias("p1"))
 
 
+def own_quota(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that the operator's own quota takes when the clicks and views are the query."""
+    scored = scored_events(spark, d, wide=True).filter("label = 1").select("event_id", "p1")
+    worst = worst_rows(scored, ("event_id",), bad_row_counts(scored).first()["quota"], 6)
+    return worst.select("event_id", r("p1").alias("p1"))
+
+
 def quota_counts(spark: SparkSession, d: str) -> DataFrame:
     """Quota per label when every label is a query of its own."""
     scored = scored_events(spark, d, wide=True)
@@ -121,7 +124,7 @@ def argmin(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bad_probability(spark: SparkSession, d: str) -> DataFrame:
-    scored = bad_row_probability(shifted_lineitem(spark, d), small_config(), "0")
+    scored = bad_row_probability(shifted_lineitem(spark, d), CorrectConfig(), "0")
     return scored.select(*LI_KEY, r("p1").alias("p1"))
 
 
@@ -129,7 +132,7 @@ def cross_pair(spark: SparkSession, d: str) -> DataFrame:
     """Mean probability of each half under the model that did not train on it."""
     pair = shifted_lineitem(spark, d)
     halves = query_halves(pair, 0)
-    models = fit_cross_pair(pair, CORRUPTED, halves, [], small_config(), "0")
+    models = fit_cross_pair(pair, CORRUPTED, halves, [], CorrectConfig(), "0")
     rows = assemble(pair.query.withColumn("label", F.lit(1)), pair.features).join(halves, list(LI_KEY))
     parts = [score_rows(models[h], rows.filter(F.col("half") == h)) for h in (0, 1)]
     return parts[0].unionByName(parts[1]).groupBy(long("half").alias("half")).agg(
@@ -139,7 +142,7 @@ def cross_pair(spark: SparkSession, d: str) -> DataFrame:
 
 def correction(spark: SparkSession, d: str) -> DataFrame:
     pair = shifted_lineitem(spark, d)
-    result = correct_features(pair, CORRUPTED, small_config())
+    result = correct_features(pair, CORRUPTED, CorrectConfig())
     return result.query.select(*LI_KEY, *rounded(LI_FEATURES))
 
 
@@ -217,6 +220,9 @@ WHERE none IS NULL UNION ALL SELECT run, 'query', 1.0 FROM ok WHERE s IS NULL"""
     Query("bad_row_quota", quota, f"""WITH {sql_scored(True)},
 bad AS (SELECT event_id, p1, row_number() OVER (ORDER BY p1 DESC, md5(concat_ws(':', '6', event_id)), event_id) AS rk, count(*) OVER () AS nb FROM sc WHERE p1 > 0.5)
 SELECT event_id, round(p1, 4) + 0.0 AS p1 FROM bad WHERE rk <= nb // 3 + 1"""),
+    Query("bad_row_quota_own", own_quota, f"""WITH {sql_scored(True)}, que AS (SELECT event_id, p1, count(*) OVER () AS n FROM sc WHERE label = 1),
+bad AS (SELECT event_id, p1, n, row_number() OVER (ORDER BY p1 DESC, md5(concat_ws(':', '6', event_id)), event_id) AS rk, count(*) OVER () AS nb FROM que WHERE p1 > 0.5)
+SELECT event_id, round(p1, 4) + 0.0 AS p1 FROM bad WHERE rk <= least(nb, greatest(0, floor(nb - n / 2)) + 1)"""),
     Query("bad_row_counts", quota_counts, f"""WITH {sql_scored(True)},
 c AS (SELECT label, count(*) AS n, count(*) FILTER (p1 > 0.5) AS n_bad FROM sc GROUP BY label)
 SELECT CAST(label AS BIGINT) AS label, n, n_bad, round(n_bad / CAST(n AS DOUBLE), 4) + 0.0 AS share,

@@ -66,7 +66,7 @@ def impute_linear(spark: SparkSession, d: str) -> DataFrame:
 
 def impute_forest(spark: SparkSession, d: str) -> DataFrame:
     pair = lineitem_pair(spark, d)
-    forest = RandomForestRegressor(numTrees=10, maxDepth=5, seed=0)
+    forest = RandomForestRegressor(seed=0)
     out = impute_features(pair.reference, pair.query, ["l_extendedprice"], ["l_quantity", "l_discount", "l_tax"], forest)
     return out.select(*LI_KEY, *rounded(LI_FEATURES))
 

@@ -18,11 +18,12 @@ from featshift.operators import divergence as D
 from featshift.operators.blocks import fold_copies, knn_join, neighbour_counts
 from featshift.operators.discriminate import logistic
 from featshift.operators.spanning import spanning_bayes_bounds, spanning_divergence
-from featshift.operators.transport import directional_wasserstein, feature_wasserstein
+from featshift.operators.transport import directional_wasserstein, feature_wasserstein, sliced_wasserstein
 
 K = 3
 RADII = (1.2, 1.3, 1.45)
 PROJECTIONS = 20
+DEFAULT_PROJECTIONS = 200
 KDE_BANDWIDTH = 0.4
 
 
@@ -116,6 +117,10 @@ def sliced(spark: SparkSession, d: str) -> DataFrame:
     return costs.agg(F.count("*").alias("n_projections"), r(F.sqrt(F.avg("cost")), 6).alias("distance"))
 
 
+def sliced_default(spark: SparkSession, d: str) -> DataFrame:
+    return sliced_wasserstein(*_sides(spark, d)).select(r("distance", 6).alias("distance"))
+
+
 def per_feature(spark: SparkSession, d: str) -> DataFrame:
     return feature_wasserstein(lineitem_pair(spark, d)).select(
         "feature", long("position").alias("position"), r("distance", 6).alias("distance")
@@ -262,9 +267,9 @@ cost AS (SELECT s.proj, sum(w / (CAST(n AS DOUBLE) * m) * (a.v - b.v) * (a.v - b
 {out}"""
 
 
-def _directions_sql() -> str:
+def _directions_sql(n: int = PROJECTIONS) -> str:
     rows = ", ".join(
-        f"({j}, [{', '.join(repr(float(v)) for v in axis)}]::DOUBLE[])" for j, axis in enumerate(unit_directions(0, PROJECTIONS, 64))
+        f"({j}, [{', '.join(repr(float(v)) for v in axis)}]::DOUBLE[])" for j, axis in enumerate(unit_directions(0, n, 64))
     )
     return f"WITH {SQL_EM}, dir(proj, axis) AS (VALUES {rows}), vals AS (SELECT proj, CAST(label >= 5 AS INT) AS side, list_dot_product(vec, axis) AS v FROM em, dir)"
 
@@ -309,6 +314,7 @@ SELECT round(x.kl, 4) + 0.0 AS kl_p_q, round(y.kl, 4) + 0.0 AS kl_q_p, round(x.k
     Query("ber_knn_bounds", ber_knn, _knn_ber_sql()),
     Query("ber_kde", ber_kde, _KDE),
     Query("sliced_wasserstein", sliced, _transport_sql(_directions_sql(), "SELECT count(*) AS n_projections, round(sqrt(avg(c)), 6) + 0.0 AS distance FROM cost")),
+    Query("sliced_wasserstein_default", sliced_default, _transport_sql(_directions_sql(DEFAULT_PROJECTIONS), "SELECT round(sqrt(avg(c)), 6) + 0.0 AS distance FROM cost")),
     Query("feature_wasserstein", per_feature, _transport_sql(_FEATURE_VALUES, "SELECT CASE proj " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(LI_FEATURES)) + " END AS feature, CAST(proj AS BIGINT) AS position, round(sqrt(c), 6) + 0.0 AS distance FROM cost")),
     Query("knn_join_missing", knn_gaps, f"{_GAPS} SELECT id, neighbour, rank, round(distance, 4) + 0.0 AS distance FROM ({_nearest_sql('que', 'ref', 'event_id', _GAPS_DIST, K)})"),
     Query("feature_wasserstein_missing", per_feature_gaps, _transport_sql(_GAPS_VALUES, "SELECT CASE proj " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(EV_FEATURES)) + " END AS feature, CAST(proj AS BIGINT) AS position, round(sqrt(c), 6) + 0.0 AS distance FROM cost")),

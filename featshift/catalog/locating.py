@@ -63,7 +63,7 @@ def detection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _located(spark: SparkSession, d: str):
-    return locate_shift(shifted_lineitem(spark, d), LocateConfig(estimator=random_forest(20, 5)))
+    return locate_shift(shifted_lineitem(spark, d), LocateConfig())
 
 
 def location(spark: SparkSession, d: str) -> DataFrame:
@@ -177,8 +177,8 @@ walk AS (
 stops AS (SELECT run_id, min(CASE WHEN waited >= 2 THEN iteration END) AS stop_iteration FROM walk GROUP BY run_id)"""
 
 QUERIES = [
-    Query("discriminate_forest", _discriminate(lambda: random_forest(20, 5), embedding_pair)),
-    Query("discriminate_boosted", _discriminate(lambda: boosted_trees(10, 4), shifted_lineitem)),
+    Query("discriminate_forest", _discriminate(random_forest, embedding_pair)),
+    Query("discriminate_boosted", _discriminate(boosted_trees, shifted_lineitem)),
     Query("discriminate_logistic", _discriminate(logistic, embedding_pair)),
     Query("oof_probabilities", oof),
     Query("shift_detection", detection),

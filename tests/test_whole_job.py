@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import inspect
+import re
+
 import duckdb
 import numpy as np
 import pytest
@@ -94,3 +97,13 @@ def test_vectors_without_a_finite_value_are_refused(spark, wrong):
             knn_join(left, right, 1)
         with pytest.raises(ValueError, match="1 vectors have missing or non-finite"):
             directional_wasserstein(left, right, np.eye(2))
+
+
+def test_registered_sizes_are_the_defaults():
+    from featshift.catalog import correcting, corruption, distances, locating
+
+    for module in (correcting, corruption, locating):
+        source = inspect.getsource(module)
+        assert not re.search(r"(random_forest|boosted_trees)\(\d|numTrees=", source), module.__name__
+    operator = inspect.signature(distances.sliced_wasserstein).parameters["n_projections"].default
+    assert distances.DEFAULT_PROJECTIONS == operator == 200
