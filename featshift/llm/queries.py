@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featshift.catalog.base import Query, table
-from featshift.llm import cap_filters, decontaminate, line_dedup, minhash, pieces, ppm, quality, suffix_dedup, token_counts, warc
+from featshift.llm import cap_filters, centroids, decontaminate, hard_negatives, line_dedup, minhash, nearest, pieces, ppm, quality, suffix_dedup, token_counts, warc
 from featshift.storage import fresh_path
 
 
@@ -152,6 +152,60 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+SQL_OP11 = """WITH v AS (
+  SELECT vec_id, len(embedding) AS d, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+n AS (SELECT *, sqrt(list_dot_product(v, v)) AS norm FROM v
+      WHERE list_dot_product(v, v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.v, b.v) / (a.norm * b.norm) AS score
+      FROM n a JOIN n b ON a.vec_id <> b.vec_id AND a.d = b.d WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, scale=64, dims=64)
+
+
+_ASSIGNED = """a{t} AS (SELECT vec_id, x, c, d FROM (
+  SELECT k.vec_id, k.x, m.c, list_sum(list_transform(list_zip(k.x, m.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d,
+         row_number() OVER (PARTITION BY k.vec_id ORDER BY d, m.c) AS r FROM k, m{t} m) WHERE r = 1)"""
+_MOVED = """m{n} AS (SELECT c, list((s - ((s % n + n) % n)) // n ORDER BY i) AS x FROM (
+  SELECT c, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM a{t}, (SELECT unnest(range(1, 65)) AS i) GROUP BY c, i) GROUP BY c
+  UNION ALL SELECT c, x FROM m{t} WHERE c NOT IN (SELECT c FROM a{t}))"""
+SQL_OP12 = f"""WITH k AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+m0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, x FROM (SELECT *, sha256('1:' || vec_id) AS h FROM k ORDER BY h LIMIT 16)),
+{", ".join(f"{_ASSIGNED.format(t=t)}, {_MOVED.format(t=t, n=t + 1)}" for t in range(3))}, {_ASSIGNED.format(t=3)}
+SELECT vec_id, CAST(a3.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a3.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m3.x, ',')) AS centroid_sha256
+FROM a3 JOIN m3 ON m3.c = a3.c"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", noisy), F.col("vec_id") % 50 == 0, scale=256, positives=5, negatives=3, low=50, high=95)
+
+
+SQL_OP13 = """WITH v AS (
+  SELECT vec_id, len(embedding) AS d, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.d = b.d WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (
+      SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+
 QUERIES = [
     Query("op1_suffix_dedup", op1_suffix_dedup),
     Query("op2_ppm", op2_ppm),
@@ -163,4 +217,7 @@ QUERIES = [
     Query("op8_token_counts", op8_token_counts),
     Query("op9_minhash", op9_minhash, SQL_OP9),
     Query("op10_quality", op10_quality),
+    Query("op11_nearest", op11_nearest, SQL_OP11),
+    Query("op12_centroids", op12_centroids, SQL_OP12),
+    Query("op13_hard_negatives", op13_hard_negatives, SQL_OP13),
 ]

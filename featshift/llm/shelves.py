@@ -7,32 +7,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featshift.llm.arrays import flat, slices
 from featshift.storage import fresh_path
 
-#: Text per bucket.
+#: Bytes per bucket, as long as Spark allows the number of buckets; beyond that they grow.
 BUCKET_BYTES = 16 << 20
 
 
+def bucket_count(spark: SparkSession, total: float, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Buckets for ``total`` bytes."""
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    # With fewer buckets than shuffle partitions Spark would shuffle both sides of a join after all.
+    return min(most, max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // bucket_bytes) + 1))
+
+
 def n_buckets(docs: DataFrame, text: str, bucket_bytes: int = BUCKET_BYTES) -> int:
     """Buckets for the whole text of ``docs``, by one counting pass."""
     total = docs.agg(F.sum(F.octet_length(F.col(text)).cast("double"))).first()[0] or 0.0
-    # With fewer buckets than shuffle partitions Spark would shuffle both sides of a join after all.
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // bucket_bytes) + 1)
+    return bucket_count(docs.sparkSession, total, bucket_bytes)
 
 
 def shelve(docs: DataFrame, key: str, buckets: int) -> DataFrame:
     """Write ``docs`` in buckets by the hash of ``key`` and read them back; rows and columns stay.
 
-    The rows are written where they are read, without a shuffle.
+    The rows are written where they are, without a shuffle: a task writes one file for each
+    bucket that it has rows of. The catalog entry is only needed to read the buckets back.
     """
-    name = f"shelf_{uuid.uuid4().hex}"
-    docs.write.format("parquet").bucketBy(buckets, key).option("path", fresh_path(docs.sparkSession, "shelf")).saveAsTable(name)
-    return docs.sparkSession.table(name)
+    spark, name = docs.sparkSession, f"shelf_{uuid.uuid4().hex}"
+    path = fresh_path(spark, "shelf")
+    docs.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    stored = spark.table(name)
+    stored._stored_path = path
+    spark.sql(f"DROP TABLE {name}")
+    return stored
 
 
 def packed(docs: DataFrame, text: str = "text", shard_bytes: int = 4 << 20) -> DataFrame:
