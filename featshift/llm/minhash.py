@@ -27,11 +27,15 @@ from featshift.llm.links import components
 from featshift.storage import forget, materialize
 
 SIDE, WIDTH = 10, 2
+#: Lowest similarity that the numbers here are chosen for.
+LEAST_PERCENT = 80
 #: Fewest of the ``2 * SIDE`` composite values that a pair worth verifying has in common; a
 #: pair at similarity 0.8 has fewer with a probability below 1e-5.
 SHARED_VALUES = 4
 #: Beyond so many members outside its first component, a bucket goes to the prefix join.
 OUTSIDE = 32
+#: Hash classes of shingles whose counts order the prefix join.
+CLASSES = 1 << 16
 #: Rounds of comparing members that are still apart with one other member of their bucket.
 ROUNDS = 2
 _U = np.uint64
@@ -70,8 +74,8 @@ def _fold(values: np.ndarray, salt: int) -> np.ndarray:
         return mix(values * _ORDER[salt])
 
 
-def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """``(id, n, fp, one, two)`` for rows ``(id, text)``: set size, fingerprint of the set, composite values."""
+def sketches(docs: DataFrame, size: int, keep_text: bool = False) -> DataFrame:
+    """``(id, n, fp, one, two)`` for rows ``(id, text)``: set size, fingerprint of the set, composite values, and the text if wanted."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -90,10 +94,11 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                         values[v, some] = mix(values[v, some] * _U(31) + low)
             sides = [pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * SIDE, np.ascontiguousarray(values[s : s + SIDE].T).view(np.int64).ravel()) for s in (0, SIDE)]
             fp = pa.array([f"{a:016x}{b:016x}" if k else None for a, b, k in zip(*prints.tolist(), n.tolist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n.astype(np.int64)), fp, *sides], names=["id", "n", "fp", "one", "two"])
+            more = {"text": batch.column("text")} if keep_text else {}
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n.astype(np.int64)), fp, *sides, *more.values()], names=["id", "n", "fp", "one", "two", *more])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(task, f"id {kind}, n long, fp string, one array<long>, two array<long>")
+    return docs.mapInArrow(task, f"id {kind}, n long, fp string, one array<long>, two array<long>" + ", text string" * keep_text)
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -156,28 +161,51 @@ def _cross_pairs(outside: DataFrame, mixed: DataFrame, on: str, possible: str =
     return pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
 
+def _rarity(docs: DataFrame, size: int) -> np.ndarray:
+    """How often the shingles of each of ``CLASSES`` hash classes occur; one number per class comes to the driver."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES, dtype=np.int64)
+        for batch in slices(batches, "text"):
+            sets, _ = shingle_sets(*flat(batch.column("text")), size)
+            total += np.bincount((sets % _U(CLASSES)).astype(np.int64), minlength=CLASSES)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"class": some, "n": total[some]})
+
+    found = np.zeros(CLASSES, dtype=np.int64)
+    for k, n in docs.select("text").mapInArrow(task, "class long, n long").groupBy("class").agg(F.sum("n")).collect():
+        found[k] = n
+    return found
+
+
 def _prefix_pairs(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs of ``rows`` (id, comp) in different components that can meet the bound, by rare shingles.
 
     Two sets that meet it share a shingle among the rarest ``n - ceil(percent * n) + 1`` of either,
-    are of similar sizes, and have enough shingles left behind the first that they share.
+    are of similar sizes, and have enough shingles left behind the first that they share. Any
+    order common to all sets will do; here it is that of the hash classes by their counts.
     """
+    crowd = materialize(docs.join(rows.hint("merge"), "id"), "crowd")
+    rarity = docs.sparkSession.sparkContext.broadcast(_rarity(crowd, size))
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = rarity.value
         for batch in slices(batches, "text"):
             sets, places = shingle_sets(*flat(batch.column("text")), size)
-            back = np.repeat(np.arange(batch.num_rows), np.diff(places))
+            n = np.diff(places)
+            row = np.repeat(np.arange(batch.num_rows), n)
+            order = np.lexsort((sets, counts[(sets % _U(CLASSES)).astype(np.int64)], row))
+            pos = np.arange(len(sets)) - places[:-1][row]
+            first = pos < (n + (-percent * n) // 100 + 1)[row]
+            back, taken = row[first], sets[order][first]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(back), batch.column("comp").take(back), pa.array(np.diff(places)[back].astype(np.int64)), pa.array(sets.view(np.int64))], names=["id", "comp", "n", "token"]
+                [batch.column("id").take(back), batch.column("comp").take(back), pa.array(n[back].astype(np.int64)), pa.array(pos[first].astype(np.int32)), pa.array(taken.view(np.int64))],
+                names=["id", "comp", "n", "pos", "token"],
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    tokens = materialize(docs.join(rows.hint("merge"), "id").mapInArrow(task, f"id {kind}, comp {kind}, n long, token long"), "tokens")
-    counted = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")).hint("merge"), "token")
-    # The order inside a document is a sort of its own tokens only.
-    by_doc = counted.groupBy("id", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    keep = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    prefix = by_doc.select("id", "comp", "n", F.posexplode(F.slice("t", 1, keep)["token"]).alias("pos", "token"))
-    mixed, outside = _outside(materialize(prefix, "prefix"), "token")
+    prefix = materialize(crowd.mapInArrow(task, f"id {kind}, comp {kind}, n long, pos int, token long"), "prefix")
+    mixed, outside = _outside(prefix, "token")
     sizes = f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
     left_over = f"{100 + percent} * least(n_x - pos_x, n_y - pos_y) >= {percent} * (n_x + n_y)"
     return _cross_pairs(outside, mixed, "token", f"{sizes} and {left_over}")
@@ -190,8 +218,11 @@ def near_duplicates(docs: DataFrame, size: int, percent: int, doc_id: str = "doc
     ``size``-word shingles. ``component_id`` is the smallest id reachable by links. Texts
     without words (null and empty ones too) link with nothing. Rows that repeat an id are
     one document; if their texts differ, the one with the smallest fingerprint stands for it.
-    Rows without an id are compared with nothing: no component, and kept.
+    Rows without an id are compared with nothing: no component, and kept. Banding is laid out
+    for a ``percent`` of 80 or more; less is refused.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"banding finds pairs from {LEAST_PERCENT} percent on")
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     found = materialize(sketches(rows, size), "sketches")
     one = found.filter("n > 0 and id is not null").groupBy("id").agg(F.min(F.struct("fp", "n", "one", "two")).alias("s")).select("id", "s.*")
@@ -201,7 +232,10 @@ def near_duplicates(docs: DataFrame, size: int, percent: int, doc_id: str = "doc
     copies = one.join(same.hint("merge"), "fp").filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
 
     # The text that stands for each id (only repeated ids can have others).
-    texts = rows.filter("id is not null").dropDuplicates(["id"]) if found.count() != found.select("id").distinct().count() else rows
+    texts = rows
+    if found.count() != found.select("id").distinct().count():
+        prints = sketches(rows.filter("id is not null"), size, keep_text=True)
+        texts = prints.groupBy("id").agg(F.min(F.struct(F.col("fp").isNull(), "fp", "text")).alias("s")).select("id", "s.text")
     keys = nodes.select("id", "two", F.posexplode("one").alias("i", "a")).select("id", "i", "a", F.posexplode("two").alias("j", "b"))
     keys = keys.select(F.xxhash64("i", "j", "a", "b").alias("key"), "id")
     shared = keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("top")).filter("lead <> top").drop("top")
