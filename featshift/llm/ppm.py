@@ -25,16 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featshift.llm.arrays import LOWER, mix, segment_sums, word_hashes
-from featshift.llm.shelves import packed, unpack
-from featshift.storage import materialize
+from featshift.llm.shelves import arrow_batches, packed, unpack
+from featshift.storage import forget, materialize
 
 ORDER = 5
 END, START, KINDS = 256, 257, 258
 BITS = 9
 #: Text of a shard, and how much of it is worked on at once.
-SHARD_BYTES, WORK_BYTES = 16 << 20, 2 << 20
-#: Shards whose requests one task answers at a time.
-FAN_IN = 256
+SHARD_BYTES, WORK_BYTES = 12 << 20, 1 << 20
+#: Shards whose counts are merged at a time, and bytes of requests answered by one copy of a part.
+FAN_IN, ASK_BYTES = 256, 64 << 20
 _GRAM = np.int64((1 << BITS * (ORDER + 1)) - 1)
 _END_WORD = np.int64(-1)
 
@@ -72,25 +72,34 @@ def _keys(kind: int, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
     return np.insert(words.view(np.int64), firsts[1:], _END_WORD), firsts + np.arange(len(firsts))
 
 
-def _distinct(kind: int, data: np.ndarray, bounds: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, the training count of each, the place of every key among them, and where each row's begin.
+class Distinct:
+    """The distinct keys of a shard, sorted, with the training count of each; ``rows`` sums a value per key over each row.
 
-    Rows are taken a few megabytes at a time, so only 32-bit places are held for a whole shard.
+    Texts are taken about a megabyte at a time, and of all positions only 32-bit codes are held.
     """
-    found, counts, places, firsts = [], [], [], [np.zeros(1, dtype=np.int64)]
-    at = shift = total = 0
-    while at < len(bounds) - 1:
-        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + WORK_BYTES, side="right")) - 1)
-        keys, first = _keys(kind, data[bounds[at] : bounds[end]], bounds[at : end + 1] - bounds[at])
-        codes, kinds = pd.factorize(keys)
-        found.append(kinds)
-        counts.append(np.bincount(codes, weights=np.repeat(trained[at:end], np.diff(first)), minlength=len(kinds)))
-        places.append((codes + shift).astype(np.int32))
-        firsts.append(first[1:] + total)
-        at, shift, total = end, shift + len(kinds), total + len(keys)
-    distinct, back = np.unique(np.concatenate(found), return_inverse=True) if found else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-    sums = np.bincount(back, weights=np.concatenate(counts), minlength=len(distinct)) if found else np.zeros(0)
-    return distinct, sums.astype(np.int64), back.astype(np.int32)[np.concatenate(places)] if found else np.zeros(0, dtype=np.int32), np.concatenate(firsts)
+
+    def __init__(self, kind: int, data: np.ndarray, bounds: np.ndarray, trained: np.ndarray | None = None):
+        found, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+        self.pieces: list[tuple[np.ndarray, np.ndarray]] = []
+        at = 0
+        while at < len(bounds) - 1:
+            end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + WORK_BYTES, side="right")) - 1)
+            keys, first = _keys(kind, data[bounds[at] : bounds[end]], bounds[at : end + 1] - bounds[at])
+            codes, kinds = pd.factorize(keys)
+            found.append(kinds)
+            counts.append(np.bincount(codes, weights=np.repeat(trained[at:end], np.diff(first)), minlength=len(kinds)) if trained is not None else np.zeros(len(kinds)))
+            self.pieces.append((codes.astype(np.int32), first))
+            at = end
+        self.keys, back = np.unique(np.concatenate(found), return_inverse=True)
+        self.counts = np.bincount(back, weights=np.concatenate(counts), minlength=len(self.keys)).astype(np.int64)
+        self.places = np.split(back, np.cumsum([len(x) for x in found[1:-1]])) if self.pieces else []
+
+    def rows(self, values: np.ndarray) -> np.ndarray:
+        sums = [segment_sums(values[place][codes], first) for place, (codes, first) in zip(self.places, self.pieces, strict=True)]
+        return np.concatenate(sums) if sums else np.zeros(0, dtype=values.dtype)
+
+    def lengths(self) -> np.ndarray:
+        return np.concatenate([np.diff(first) for _, first in self.pieces]) if self.pieces else np.zeros(0, dtype=np.int64)
 
 
 def _sent(shards: DataFrame, parts: int) -> DataFrame:
@@ -101,7 +110,9 @@ def _sent(shards: DataFrame, parts: int) -> DataFrame:
             for shard, data, bounds, more in unpack(batch):
                 trained = np.array(more["trained"].as_py(), dtype=np.float64)
                 for kind in (0, 1):
-                    known, counts, _, _ = _distinct(kind, data, bounds, trained)
+                    held = Distinct(kind, data, bounds, trained)
+                    known, counts = held.keys, held.counts
+                    del held
                     part = _part_of(kind, known, parts)
                     order = np.argsort(part, kind="stable")
                     cuts = np.searchsorted(part[order], np.arange(parts + 1))
@@ -243,7 +254,7 @@ def _answers(sent: DataFrame, model: DataFrame, low: np.ndarray) -> DataFrame:
         })
 
     keys = ["kind", "part", "chunk"]
-    return sent.drop("counts").groupBy(*keys).cogroup(model.groupBy(*keys)).applyInArrow(answer, "shard long, kind int, part int, values binary")
+    return sent.groupBy(*keys).cogroup(model.groupBy(*keys)).applyInArrow(answer, "shard long, kind int, part int, values binary")
 
 
 def score_texts(docs: DataFrame, trained: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -259,7 +270,8 @@ def score_texts(docs: DataFrame, trained: str, doc_id: str = "doc_id", text: str
     n_shards = shards.count()
     parts = max(8, int(6 * math.sqrt(n_shards)))
     chunks = n_shards // FAN_IN + 1
-    sent = materialize(_sent(shards, parts).withColumn("chunk", F.pmod(F.xxhash64("shard"), F.lit(chunks)).cast("int")), "strings")
+    with arrow_batches(docs.sparkSession, SHARD_BYTES):
+        sent = materialize(_sent(shards, parts).withColumn("chunk", F.pmod(F.xxhash64("shard"), F.lit(chunks)).cast("int")), "strings")
     low = _low_counts(sent)
     model = _merge_counts(sent.select("kind", "part", "chunk", "keys", "counts"), ["kind", "part", "chunk"])
     while chunks > 1:
@@ -268,8 +280,11 @@ def score_texts(docs: DataFrame, trained: str, doc_id: str = "doc_id", text: str
     model = materialize(model, "model")
     totals = model.filter("kind = 1").agg(F.sum("n_keys"), F.sum("total")).first()
     n_kinds, n_train = int(totals[0] or 0), int(totals[1] or 0)
-    spread = F.explode(F.sequence(F.lit(0), F.lit(n_shards // FAN_IN)))
-    answers = _answers(sent, model.select("kind", "part", "keys", "counts", spread.alias("chunk")), low)
+    # A part is copied once for every so many bytes asked of it; two rows for each part, whose number grows with the root of the shards.
+    load = F.broadcast(sent.groupBy("kind", "part").agg(F.ceil(F.sum(F.octet_length("keys").cast("double")) / ASK_BYTES).cast("int").alias("copies")))
+    asked = sent.drop("counts", "chunk").join(load, ["kind", "part"]).withColumn("chunk", F.pmod(F.xxhash64("shard"), F.col("copies")).cast("int")).drop("copies")
+    copied = model.select("kind", "part", "keys", "counts").join(load, ["kind", "part"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    answers = _answers(asked, copied, low)
     mine = answers.groupBy("shard").agg(F.collect_list(F.struct("kind", "part", "values")).alias("answers"))
     known = shards.join(mine.hint("shuffle_hash"), "shard", "left")
     floor = math.log10(n_train + 0.1 * (n_kinds + 1))
@@ -281,24 +296,29 @@ def score_texts(docs: DataFrame, trained: str, doc_id: str = "doc_id", text: str
                 values = {(a["kind"], a["part"]): a["values"] for a in more["answers"].as_py() or []}
                 found = []
                 for kind in (0, 1):
-                    distinct, _, place, firsts = _distinct(kind, data, bounds, np.zeros(len(bounds) - 1))
-                    part = _part_of(kind, distinct, parts)
-                    got = np.zeros(len(distinct))
+                    held = Distinct(kind, data, bounds)
+                    part = _part_of(kind, held.keys, parts)
+                    got = np.zeros(len(held.keys))
                     order = np.argsort(part, kind="stable")
                     cuts = np.searchsorted(part[order], np.arange(parts + 1))
                     for k in np.flatnonzero(np.diff(cuts)).tolist():
                         got[order[cuts[k] : cuts[k + 1]]] = np.frombuffer(values[kind, k])
-                    found.append((got, place, firsts))
-                (logs, place, firsts), (counts, words, ends) = found
+                    if kind == 0:
+                        found.append(held.rows(got))
+                    else:
+                        found += [held.lengths(), held.rows((got > 0).astype(np.int64)), held.rows(np.log10(got + 0.1) - floor)]
+                    del held
+                score, n_tokens, n_known, base = found
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        more["doc_id"].values, more["trained"].values, pa.array(np.diff(ends).astype(np.int64)), pa.array(segment_sums((counts[words] > 0).astype(np.int64), ends)),
-                        pa.array(np.full(len(ends) - 1, n_train, dtype=np.int64)), pa.array(segment_sums((np.log10(counts + 0.1) - floor)[words], ends)), pa.array(segment_sums(logs[place], firsts)),
-                    ],
+                    [more["doc_id"].values, more["trained"].values, pa.array(n_tokens), pa.array(n_known), pa.array(np.full(len(score), n_train, dtype=np.int64)), pa.array(base), pa.array(score)],
                     names=["doc_id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return known.mapInArrow(task, f"doc_id {kind_of}, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = known.mapInArrow(task, f"doc_id {kind_of}, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    with arrow_batches(docs.sparkSession, SHARD_BYTES):
+        scored = materialize(scored, "scores")
+    forget(sent, model, shards)
+    return scored
 
 
 def adaptive_score(text: bytes, order: int = ORDER) -> float:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,18 @@ from featshift.storage import fresh_path
 BUCKET_BYTES = 16 << 20
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """Jobs that run meanwhile send batches of at most ``most`` bytes to Python, or one row."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def bucket_count(spark: SparkSession, total: float, bucket_bytes: int = BUCKET_BYTES) -> int:
     """Buckets for ``total`` bytes."""
     most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
