@@ -16,7 +16,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from featshift.llm.arrays import RollingHash, flat, segment_sums, slices, word_spans
 
@@ -24,6 +23,8 @@ BITS = 16
 NGRAMS = (3, 4)
 #: Most labelled rows used for training, taken by the hash of their id.
 SAMPLE_ROWS = 3000
+#: Text whose features are held at once.
+SLICE_BYTES = 1 << 20
 
 
 def _ngrams(data: np.ndarray, n: int, bits: int) -> np.ndarray:
@@ -121,7 +122,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             data, bounds = flat(batch.column("text"))
             kinds = list(features(data, bounds))
             made = [np.unique(np.concatenate([b[f[i] : f[i + 1]] for b, f in kinds]), return_counts=True) for i in range(batch.num_rows)]
@@ -141,18 +142,15 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", scor
     of the results are replaced, others stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model.table)  # 2^16 numbers, whatever the input
-    kept = [c for c in docs.columns if c not in (score, predicted)]
-    source = text if text in kept else "_text"
-    frame = docs.select(*kept, *([docs[text].alias(source)] if source not in kept else []))
-    out_fields = [f for f in frame.schema.fields if f.name in kept]
-    schema = T.StructType([*out_fields, T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())])
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fitted = QualityModel(shared.value)
-        for batch in slices(batches, source):
-            found = fitted.score(*flat(batch.column(source)))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(f.name) for f in out_fields), pa.array(found), pa.array((found >= probability_from).astype(np.int32))], names=schema.names
-            )
-
-    return frame.mapInArrow(task, schema)
+        for array in texts:
+            batch = pa.record_batch([array], names=["text"])
+            found = [fitted.score(*flat(part.column(0))) for part in slices(iter([batch]), "text", SLICE_BYTES)]
+            yield pa.array(np.concatenate(found) if found else np.zeros(0))
+
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (score, predicted)]
+    found = docs.select(*kept, scored(F.col(text).cast("string")).alias(score))
+    return found.withColumn(predicted, (F.col(score) >= probability_from).cast("int"))
