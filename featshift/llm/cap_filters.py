@@ -21,29 +21,51 @@ from pyspark.sql import functions as F
 from featshift.llm.links import components
 from featshift.storage import materialize
 
-#: Codewords in each of the two blocks; every rotation has the square of it as directions.
+#: Most codewords in each of the two blocks; every rotation has the square of it as directions.
 CODEWORDS = 1024
+#: Filters that a pair at the least cosine shares on average where fewer codewords do, and random vectors tried for that.
+SHARED, TRIED = 60, 400
 ROTATIONS = 3
 #: Caps begin at so many standard deviations of a random product, and at this product at most.
 DEVIATIONS, HIGHEST_ALPHA = 3.7, 0.6
+#: Least cosine that these caps find nearly all pairs for.
+LEAST_COSINE = 0.9
 #: A filter with more vectors is compared in pairs of parts of this size.
 PART_ROWS = 1024
 #: Members of small groups are held against so many followers at once, larger groups as a matrix.
 FOLLOWERS = 8
 
 
+def _directions(rng: np.random.Generator, dim: int, n: int) -> np.ndarray:
+    words = rng.normal(size=(dim, n))
+    return words / np.maximum(np.linalg.norm(words, axis=0), 1e-300)
+
+
 class ProductCode:
-    """The directions for vectors of one dimension."""
+    """The directions for vectors of one dimension, as many as pairs at ``cosine`` need to meet.
+
+    In few dimensions caps are wide (``HIGHEST_ALPHA``) and hold a large share of all vectors,
+    so fewer codewords give a pair as many common filters. The share is measured on random pairs.
+    """
 
-    def __init__(self, dim: int, seed: int = 17):
+    def __init__(self, dim: int, cosine: float, seed: int = 17):
         rng = np.random.default_rng((seed, dim))
         self.cut = (dim + 1) // 2
+        self.bound = min(DEVIATIONS / np.sqrt(dim), HIGHEST_ALPHA) * np.sqrt(1 + (dim > 1))
+        self.codewords = self._enough(dim, cosine) if DEVIATIONS / np.sqrt(dim) > HIGHEST_ALPHA else CODEWORDS
         self.turns = []
         for _ in range(ROTATIONS):
             rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
-            words = [rng.normal(size=(n, CODEWORDS)) for n in (self.cut, dim - self.cut)]
-            self.turns.append((rotation, *(w / np.maximum(np.linalg.norm(w, axis=0), 1e-300) for w in words)))
-        self.bound = min(DEVIATIONS / np.sqrt(dim), HIGHEST_ALPHA) * np.sqrt(1 + (dim > 1))
+            self.turns.append((rotation, *(_directions(rng, n, self.codewords) for n in (self.cut, dim - self.cut))))
+
+    def _enough(self, dim: int, cosine: float) -> int:
+        rng = np.random.default_rng((18, dim))
+        x, y = _directions(rng, dim, TRIED), rng.normal(size=(dim, TRIED))
+        y -= (x * y).sum(axis=0) * x
+        y = cosine * x + np.sqrt(1 - cosine**2) * y / np.maximum(np.linalg.norm(y, axis=0), 1e-300)
+        words = np.concatenate([_directions(rng, n, TRIED) for n in (self.cut, dim - self.cut)])
+        both = ((x.T @ words >= self.bound) & (y.T @ words >= self.bound)).mean()
+        return int(np.clip(np.ceil(np.sqrt(SHARED / (ROTATIONS * both))), 8, CODEWORDS)) if both else CODEWORDS
 
     def decode(self, units: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """For each unit vector the sorted numbers of all directions it exceeds, and its sign bits."""
@@ -60,7 +82,7 @@ class ProductCode:
                 n = np.searchsorted(-down[k], left[k, able] - self.bound, side="right")
                 a = np.repeat(able, n)
                 b = order[k, np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)]
-                parts[k].append(np.sort((turn * CODEWORDS + a) * CODEWORDS + b).astype(np.int32))
+                parts[k].append(np.sort((turn * self.codewords + a) * self.codewords + b).astype(np.int32))
         return [np.concatenate(x) for x in parts], np.packbits(np.concatenate(signs, axis=1), axis=1)
 
 
@@ -94,7 +116,7 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(task, f"id {kind}, label string, dim int, fp string, vec binary")
 
 
-def _filters(nodes: DataFrame) -> DataFrame:
+def _filters(nodes: DataFrame, cosine: float) -> DataFrame:
     """``(id, filters, signs)``: the directions each vector exceeds, in order, and its packed sign bits."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +126,7 @@ def _filters(nodes: DataFrame) -> DataFrame:
                 dims = batch.column("dim").to_numpy()
                 for dim in np.unique(dims).tolist():
                     at = np.flatnonzero(dims == dim)
-                    code = codes.setdefault(dim, ProductCode(dim))
+                    code = codes.get(dim) or codes.setdefault(dim, ProductCode(dim, cosine))
                     x = np.stack([np.frombuffer(batch.column("vec")[int(k)].as_py()) for k in at])
                     x = x / np.abs(x).max(axis=1, keepdims=True)
                     found, signs = code.decode(x / np.linalg.norm(x, axis=1, keepdims=True))
@@ -220,15 +242,17 @@ def cosine_groups(rows: DataFrame, cosine: float = 0.93, vec_id: str = "vec_id",
     Vectors of equal label and dimension link at a cosine of at least ``cosine``. Rows whose
     label, id or vector is null, or whose vector is empty, zero or holds a null or non-finite
     component, link with nothing. Rows that repeat an id are one vector; if they differ, the
-    one with the smallest label and vector stands for it.
+    one with the smallest label and vector stands for it. A ``cosine`` below 0.9 is refused.
     """
+    if cosine < LEAST_COSINE:
+        raise ValueError(f"the caps are laid out for a cosine from {LEAST_COSINE} on")
     base = rows.select(F.col(vec_id).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vec"))
     able = base.filter("id is not null and label is not null and vec is not null").groupBy("id").agg(F.min(F.struct("label", "vec")).alias("s")).select("id", "s.*")
     every = materialize(_vectors(able), "vectors")
     same = every.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
     node = every.join(same.select(F.col("rep").alias("id"), "weight").hint("merge"), "id").select("id", "label", "dim", "vec", "weight")
     node = materialize(node, "vectors")
-    found = materialize(_filters(node), "filters")
+    found = materialize(_filters(node, cosine), "filters")
 
     shelf = found.join(node.select("id", "label", "dim").hint("merge"), "id").select("id", "label", "dim", "signs", F.explode("filters").alias("filter"))
     shelf = shelf.select("id", F.xxhash64("label", "dim", "filter").alias("bucket"), "filter", "signs")
