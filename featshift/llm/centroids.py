@@ -200,11 +200,11 @@ def cluster(
         if turn == rounds:
             break
         state = marked.filter("not need").select("id", "cells", "cluster").unionByName(found.filter("id is not null").select("id", "cells", "cluster"))
-        change = found.filter("id is null").select("cluster", "distance", F.posexplode("sums").alias("d", "x")).groupBy("cluster", "d")
-        for r in change.agg(F.sum("distance").alias("n"), F.sum(F.col("x").cast("decimal(38,0)")).alias("x")).collect():  # k * dims numbers
-            sums[r["cluster"]][r["d"]] += int(r["x"])
-            if r["d"] == 0:
-                members[r["cluster"]] += r["n"]
+        change = found.filter("id is null").groupBy("cluster")
+        parts = [F.sum(F.col("sums")[d].cast("decimal(38,0)")).alias(f"x{d}") for d in range(dims)]
+        for r in change.agg(F.sum("distance").alias("n"), *parts).collect():  # k rows
+            members[r["cluster"]] += r["n"]
+            sums[r["cluster"]] = [x + int(r[f"x{d}"]) for d, x in enumerate(sums[r["cluster"]])]
         centers = np.array([[x // members[c] for x in sums[c]] if members[c] else centers[c].tolist() for c in range(k)], dtype=np.int64)
 
     placed = found.filter("id is not null").select(F.col("id").alias("vec_id"), "cluster", "distance")

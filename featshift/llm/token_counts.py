@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from featshift.llm.arrays import RollingHash, flat, segment_sums, slices, word_spans
+from featshift.llm.arrays import flat, segment_sums, slices, span_hashes, word_spans
 
 
 class LongestMatch:
@@ -153,11 +153,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", n_tokens:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = LongestMatch(read_ranks(vocabulary))
-        for batch in slices(batches, source, 8 << 20):
+        for batch in slices(batches, source, 2 << 20):
             data, bounds = flat(batch.column(source))
             starts, ends, firsts = marked_words(data, bounds)
-            hashes = RollingHash(data).ranges(starts, ends) if len(starts) else np.zeros(0, dtype=np.uint64)
-            _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+            _, first, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
             counts = automaton.count(data, starts[first], ends[first])[back]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(f.name) for f in out_fields), pa.array(segment_sums(counts, firsts)), pa.array(np.diff(firsts).astype(np.int64))],

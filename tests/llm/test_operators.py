@@ -155,7 +155,8 @@ def test_cap_filters(spark):
     data = [(k, [float(x) for x in v], k % 2 if k < 20 else (k - 20) % 2) for k, v in enumerate(vectors)]
     data[-1] = (30, data[3][1], data[3][2])
     odd = [(31, None, 0), (32, [0.0] * 16, 0), (33, [float("nan")] * 16, 0), (34, [None] + [1.0] * 15, 1), (35, data[0][1], None), (None, data[0][1], 0), (36, [], 0), data[5]]
-    frame = spark.createDataFrame([*data, *odd], "vec_id long, embedding array<float>, label int")
+    names = ["id", "vec", "dim", "signs", "filters", "component_id"]  # columns of the same names as those in between stay out of the way
+    frame = spark.createDataFrame([*data, *odd], "vec_id long, embedding array<float>, label int").select("*", *(F.lit("x").alias(c) for c in names))
     got = {r.vec_id: r for r in cap_filters.cosine_groups(frame).collect() if r.vec_id is not None}
     x = np.array([np.float32(v) for _, v, _ in data], dtype=np.float64)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -168,6 +169,20 @@ def test_cap_filters(spark):
     assert cap_filters.cosine_groups(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [2, 3, 8, 16, 24, 37, 64])
+@pytest.mark.parametrize("cosine", [0.93, 0.9])
+def test_pairs_share_a_filter(dim, cosine):
+    rng = np.random.default_rng(dim)
+    x, y = rng.normal(size=(2, 200, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    code = cap_filters.ProductCode(dim, cosine)
+    a, b = code.decode(x)[0], code.decode(y)[0]
+    assert all(len(np.intersect1d(p, q)) for p, q in zip(a, b, strict=True))
+    assert np.mean([len(p) for p in a]) < 1500
+
+
 def test_warc(spark):
     long = "é<p>" * 60
     pages = [(1, "http://a\r\nb", long), (2, None, long), (3, "u%0A", ""), (4, "u", None), (5, "u", "short"), (6, "u", "short"), (7, "u", "b" * 70000), (None, "u", long)]
@@ -253,9 +268,27 @@ def test_minhash(docs, rows, empty):
 
 
 def test_minhash_prefix_path(docs, monkeypatch):
-    want = sorted(map(str, minhash.near_duplicates(docs, 3, 60).collect()))
+    want = sorted(map(str, minhash.near_duplicates(docs, 3, 80).collect()))
     monkeypatch.setattr(minhash, "OUTSIDE", 0)
-    assert sorted(map(str, minhash.near_duplicates(docs, 3, 60).collect())) == want
+    monkeypatch.setattr(minhash, "ROUNDS", 0)
+    assert sorted(map(str, minhash.near_duplicates(docs, 3, 80).collect())) == want
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(docs, 3, 79)
+
+
+def _thue_morse(n: int) -> tuple[str, str]:
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_without_a_common_letter_are_told_apart(spark):
+    x, y = _thue_morse(1024)
+    frame = spark.createDataFrame([(1, x, True), (2, y, False), (3, f"{x}\n{y}", False)], "doc_id long, text string, use boolean")
+    assert sorted(r.component_id for r in minhash.near_duplicates(frame, 3, 85).collect()) == [1, 2, 3]
+    known = {r.doc_id: r.n_known for r in ppm.score_texts(frame, "use").collect()}
+    assert known == {1: 2, 2: 1, 3: 2}
+    counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(frame, tokenizer_path("byte_bpe_50k.tiktoken")).collect()}
+    assert counts[3] == counts[1] + counts[2] + 1
 
 
 def test_quality(spark, sf_dir, empty):
