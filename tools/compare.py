@@ -41,7 +41,7 @@ def compare_frames(got: pd.DataFrame, want: pd.DataFrame) -> str:
         return f"columns {sorted(got.columns)} != {sorted(want.columns)}"
     if len(got) != len(want):
         return f"rows {len(got)} != {len(want)}"
-    kinds = {c: (got[c].dtype.kind, want[c].dtype.kind) for c in got.columns if got[c].dtype != want[c].dtype and got[c].dtype.kind in "iufb"}
+    kinds = {c: (got[c].dtype.kind, want[c].dtype.kind) for c in got.columns if got[c].dtype != want[c].dtype and got[c].dtype.kind in "iufb" and want[c].notna().any()}
     a, b = _canonical(got), _canonical(want)
     if not a.equals(b):
         left = set(a.itertuples(index=False, name=None))
