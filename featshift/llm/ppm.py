@@ -58,6 +58,24 @@ def grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return key[inside], bounds + np.arange(rows + 1)
 
 
+def _stored(values: np.ndarray) -> bytes:
+    """Long numbers byte plane by byte plane: the upper ones are all zero for small numbers and are compressed to nothing."""
+    return values.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _read(stored: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(stored, dtype=np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def _stored_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences."""
+    return _stored(np.diff(keys, prepend=np.int64(0)))
+
+
+def _read_keys(stored: bytes) -> np.ndarray:
+    return np.cumsum(_read(stored))
+
+
 def _part_of(kind: int, keys: np.ndarray, parts: int) -> np.ndarray:
     """Part of each key: strings by the last two symbols of their context, words by themselves."""
     cut = keys >> BITS & np.int64((1 << 2 * BITS) - 1) if kind == 0 else keys
@@ -120,7 +138,7 @@ def _sent(shards: DataFrame, parts: int) -> DataFrame:
                     some = [k for k, r in enumerate(rows) if len(r)]
                     yield pa.RecordBatch.from_pydict({
                         "kind": pa.array([kind] * len(some), pa.int32()), "part": pa.array(some, pa.int32()), "shard": pa.array([shard] * len(some), pa.int64()),
-                        "keys": pa.array([known[rows[k]].tobytes() for k in some], pa.binary()), "counts": pa.array([counts[rows[k]].astype(np.int32).tobytes() for k in some], pa.binary()),
+                        "keys": pa.array([_stored_keys(known[rows[k]]) for k in some], pa.binary()), "counts": pa.array([_stored(counts[rows[k]]) for k in some], pa.binary()),
                     })
 
     return shards.mapInArrow(task, "kind int, part int, shard long, keys binary, counts binary")
@@ -133,8 +151,7 @@ def _low_counts(sent: DataFrame) -> np.ndarray:
         total = np.zeros(1 << 2 * BITS, dtype=np.int64)
         for batch in batches:
             for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                pairs = np.frombuffer(keys, dtype=np.int64) & np.int64((1 << 2 * BITS) - 1)
-                np.add.at(total, pairs, np.frombuffer(counts, dtype=np.int32))
+                np.add.at(total, _read_keys(keys) & np.int64((1 << 2 * BITS) - 1), _read(counts))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"pair": some, "n": total[some]})
 
@@ -148,16 +165,14 @@ def _merge_counts(sent: DataFrame, by: list[str]) -> DataFrame:
     """Sum the counts of equal keys within each group of blocks."""
 
     def merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in table.column("keys").to_pylist()])
-        kinds = {4: np.int32, 8: np.int64}
-        counts = [(x, len(k) // 8) for x, k in zip(table.column("counts").to_pylist(), table.column("keys").to_pylist(), strict=True)]
-        counts = np.concatenate([np.frombuffer(x, dtype=kinds[len(x) // n]).astype(np.int64) for x, n in counts])
+        keys = np.concatenate([_read_keys(x) for x in table.column("keys").to_pylist()])
+        counts = np.concatenate([_read(x) for x in table.column("counts").to_pylist()])
         seen = counts > 0
         found, back = np.unique(keys[seen], return_inverse=True)
         sums = np.zeros(len(found), dtype=np.int64)
         np.add.at(sums, back, counts[seen])
         values = {k: pa.array([v.as_py()], pa.int32()) for k, v in zip(by, key, strict=True)}
-        return pa.table(values | {"keys": pa.array([found.tobytes()], pa.binary()), "counts": pa.array([sums.tobytes()], pa.binary()), "n_keys": pa.array([len(found)], pa.int64()), "total": pa.array([int(sums.sum())], pa.int64())})
+        return pa.table(values | {"keys": pa.array([_stored_keys(found)], pa.binary()), "counts": pa.array([_stored(sums)], pa.binary()), "n_keys": pa.array([len(found)], pa.int64()), "total": pa.array([int(sums.sum())], pa.int64())})
 
     return sent.groupBy(*by).applyInArrow(merged, ", ".join(f"{k} int" for k in by) + ", keys binary, counts binary, n_keys long, total long")
 
@@ -236,9 +251,9 @@ def _answers(sent: DataFrame, model: DataFrame, low: np.ndarray) -> DataFrame:
         if not asked.num_rows:
             return pa.table({"shard": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "values": pa.array([], pa.binary())})
         kind, part = asked.column("kind")[0].as_py(), asked.column("part")[0].as_py()
-        keys = np.frombuffer(known.column("keys")[0].as_py() if known.num_rows else b"", dtype=np.int64)
-        counts = np.frombuffer(known.column("counts")[0].as_py() if known.num_rows else b"", dtype=np.int64)
-        blocks = [np.frombuffer(x, dtype=np.int64) for x in asked.column("keys").to_pylist()]
+        keys = _read_keys(known.column("keys")[0].as_py() if known.num_rows else b"")
+        counts = _read(known.column("counts")[0].as_py() if known.num_rows else b"")
+        blocks = [_read_keys(x) for x in asked.column("keys").to_pylist()]
         every, back = np.unique(np.concatenate(blocks), return_inverse=True)
         if kind == 0:
             values = Contexts(keys, counts, shared.value).log10(every)
