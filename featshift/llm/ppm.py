@@ -76,6 +76,17 @@ def _read_keys(stored: bytes) -> np.ndarray:
     return np.cumsum(_read(stored))
 
 
+def _stored_values(values: np.ndarray) -> bytes:
+    """Doubles as the distinct ones and the number of each."""
+    kinds, codes = np.unique(values, return_inverse=True)
+    return np.int64(len(kinds)).tobytes() + kinds.tobytes() + _stored(codes)
+
+
+def _read_values(stored: bytes) -> np.ndarray:
+    end = 8 + 8 * int(np.frombuffer(stored[:8], dtype=np.int64)[0])
+    return np.frombuffer(stored[8:end], dtype=np.float64)[_read(stored[end:])]
+
+
 def _part_of(kind: int, keys: np.ndarray, parts: int) -> np.ndarray:
     """Part of each key: strings by the last two symbols of their context, words by themselves."""
     cut = keys >> BITS & np.int64((1 << 2 * BITS) - 1) if kind == 0 else keys
@@ -96,7 +107,7 @@ class Distinct:
     Texts are taken about a megabyte at a time, and of all positions only 32-bit codes are held.
     """
 
-    def __init__(self, kind: int, data: np.ndarray, bounds: np.ndarray, trained: np.ndarray | None = None):
+    def __init__(self, kind: int, data: np.ndarray, bounds: np.ndarray, trained: np.ndarray | None = None, keep: bool = True):
         found, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
         self.pieces: list[tuple[np.ndarray, np.ndarray]] = []
         at = 0
@@ -106,7 +117,8 @@ class Distinct:
             codes, kinds = pd.factorize(keys)
             found.append(kinds)
             counts.append(np.bincount(codes, weights=np.repeat(trained[at:end], np.diff(first)), minlength=len(kinds)) if trained is not None else np.zeros(len(kinds)))
-            self.pieces.append((codes.astype(np.int32), first))
+            if keep:
+                self.pieces.append((codes.astype(np.int32), first))
             at = end
         self.keys, back = np.unique(np.concatenate(found), return_inverse=True)
         self.counts = np.bincount(back, weights=np.concatenate(counts), minlength=len(self.keys)).astype(np.int64)
@@ -128,9 +140,8 @@ def _sent(shards: DataFrame, parts: int) -> DataFrame:
             for shard, data, bounds, more in unpack(batch):
                 trained = np.array(more["trained"].as_py(), dtype=np.float64)
                 for kind in (0, 1):
-                    held = Distinct(kind, data, bounds, trained)
-                    known, counts = held.keys, held.counts
-                    del held
+                    told = Distinct(kind, data, bounds, trained, keep=False)
+                    known, counts = told.keys, told.counts
                     part = _part_of(kind, known, parts)
                     order = np.argsort(part, kind="stable")
                     cuts = np.searchsorted(part[order], np.arange(parts + 1))
@@ -265,7 +276,7 @@ def _answers(sent: DataFrame, model: DataFrame, low: np.ndarray) -> DataFrame:
         cuts = np.cumsum([0, *map(len, blocks)])
         return pa.table({
             "shard": asked.column("shard"), "kind": pa.array([kind] * len(blocks), pa.int32()), "part": pa.array([part] * len(blocks), pa.int32()),
-            "values": pa.array([values[back[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+            "values": pa.array([_stored_values(values[back[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
         })
 
     keys = ["kind", "part", "chunk"]
@@ -317,7 +328,7 @@ def score_texts(docs: DataFrame, trained: str, doc_id: str = "doc_id", text: str
                     order = np.argsort(part, kind="stable")
                     cuts = np.searchsorted(part[order], np.arange(parts + 1))
                     for k in np.flatnonzero(np.diff(cuts)).tolist():
-                        got[order[cuts[k] : cuts[k + 1]]] = np.frombuffer(values[kind, k])
+                        got[order[cuts[k] : cuts[k + 1]]] = _read_values(values[kind, k])
                     if kind == 0:
                         found.append(held.rows(got))
                     else:

@@ -52,7 +52,7 @@ def shelve(docs: DataFrame, key: str, buckets: int) -> DataFrame:
     """
     spark, name = docs.sparkSession, f"shelf_{uuid.uuid4().hex}"
     path = fresh_path(spark, "shelf")
-    docs.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    docs.write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).option("path", path).saveAsTable(name)
     stored = spark.table(name)
     stored._stored_path = path
     spark.sql(f"DROP TABLE {name}")
