@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featshift.functions.hashing import driver_uniform, seeded_uniform
+from featshift.operators.concurrent import run_together
 from featshift.operators.discriminate import cached
 from featshift.operators.rank import seeded_rank
 from featshift.storage import materialize
@@ -216,8 +215,8 @@ def impute_features(
         )
         return ready.fit(train)
 
-    with cached(train) as train, ThreadPool(max(1, min(parallelism, len(targets)))) as pool:
-        models = pool.map(inheritable_thread_target(query.sparkSession)(fit), targets)
+    with cached(train) as train:
+        models = run_together(query.sparkSession, fit, targets, parallelism)
     for model in models:
         out = model.transform(out)
     replaced = set(targets)

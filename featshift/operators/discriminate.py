@@ -10,9 +10,8 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
@@ -21,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featshift.functions.scores import CORRECT_CLIP, Scored
+from featshift.operators.concurrent import run_together
 from featshift.operators.evaluate import evaluate
 from featshift.operators.prepare import stratified_folds
 from featshift.sources.pair import ShiftPair
-from featshift.storage import materialize
+from featshift.storage import forget, materialize
 
 VECTOR = "features"
 _SLICE = "_remaining"
@@ -53,13 +53,16 @@ def cached(df: DataFrame) -> Iterator[DataFrame]:
     """Store ``df`` and keep it in memory (spilling to disk) while it is used several times.
 
     With the stored table behind it, a cached part lost with its executor is read again
-    in the same row order, which tree bagging depends on.
+    in the same row order, which tree bagging depends on. Both are gone afterwards, so what
+    is computed from it lazily has to be stored before.
     """
-    kept = materialize(df, "cached").persist(StorageLevel.MEMORY_AND_DISK)
+    stored = materialize(df, "cached")
+    kept = stored.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield kept
     finally:
         kept.unpersist()
+        forget(stored)
 
 
 def train_rows(data: DataFrame, fold: int) -> DataFrame:
@@ -140,8 +143,7 @@ def fit_folds(
     def fit(fold: int) -> Model:
         return ready.fit(train_rows(data, fold))
 
-    with ThreadPool(max(1, min(parallelism, len(folds)))) as pool:
-        models = dict(zip(folds, pool.map(inheritable_thread_target(data.sparkSession)(fit), folds)))
+    models = dict(zip(folds, run_together(data.sparkSession, fit, folds, parallelism)))
     scored = reduce(DataFrame.unionByName, [score_rows(models[f], test_rows(data, f)) for f in folds])
     return FoldFits(models, scored)
 
