@@ -1,8 +1,8 @@
 """Exact global ranks and running totals without a one-task window.
 
 Rows are put into many order-preserving buckets. Totals per bucket are small,
-so their running sum is cheap; inside a bucket an ordinary window finishes the
-job. The big side is shuffled once, on (by, bucket), for join and window alike.
+so their running sum is cheap. Running totals of measures finish with an ordinary
+window inside a bucket, seeded ranks with a place in a sorted, stored bucket.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from featshift.functions.hashing import seeded_hash
+from featshift.storage import materialize
 
-# 16**4 = 65,536 buckets: 10**12 rows leave about 15 million rows per window group.
-HEX_DIGITS = 4
+# Several buckets for each shuffle partition, so that hashing buckets to partitions evens out.
+BUCKETS_PER_PARTITION = 16
 VALUE_BUCKETS = 256
 
 
@@ -74,15 +75,23 @@ def seeded_rank(
     seed: int | str,
     by: Sequence[str] = (),
     out: str = "rank",
-    digits: int = HEX_DIGITS,
+    buckets: int | None = None,
 ) -> DataFrame:
-    """1-based rank of every row in the seeded order of its key, within ``by``."""
-    hashed = df.withColumn("_h", seeded_hash(seed, *key))
-    ranked = running_totals(
-        hashed,
-        {out: F.lit(1).cast("bigint")},
-        bucket=F.substring("_h", 1, digits),
-        order=["_h", *key],
-        by=by,
-    )
-    return ranked.drop("_h")
+    """1-based rank of every row in the seeded order of its key, within ``by``.
+
+    The seeded hash is uniform, so cutting its range evenly gives balanced buckets in order
+    without a look at the rows. ``df`` is evaluated and shuffled once: rows are sorted inside
+    their bucket, numbered by their place in the task and stored; the counts per bucket
+    (and ``by`` group) of the stored rows give what to add. ``buckets`` is
+    ``BUCKETS_PER_PARTITION`` for every shuffle partition unless given.
+    """
+    by = list(by)
+    n = buckets or BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    head = F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint")
+    hashed = df.withColumn("_h", seeded_hash(seed, *key)).withColumn("_bucket", F.shiftright(head * n, 32).cast("int"))
+    sorted_ = hashed.repartition("_bucket").sortWithinPartitions("_bucket", *by, "_h", *key).drop("_h")
+    stored = materialize(sorted_.withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    groups = stored.groupBy(*by, "_bucket").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = groups.select(*by, "_bucket", (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return stored.join(offsets, [*by, "_bucket"]).select(*df.columns, (F.col("_at") + F.col("_shift")).alias(out))

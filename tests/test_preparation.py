@@ -27,7 +27,7 @@ def unit_rows(spark):
 def test_rank_is_a_permutation_and_ignores_partitioning(spark):
     rows = spark.range(1000).withColumn("g", F.col("id") % 3)
     one = {(r["id"], r["rank"]) for r in seeded_rank(rows.repartition(1), ["id"], 5, by=["g"]).collect()}
-    many = {(r["id"], r["rank"]) for r in seeded_rank(rows.repartition(13), ["id"], 5, by=["g"], digits=2).collect()}
+    many = {(r["id"], r["rank"]) for r in seeded_rank(rows.repartition(13), ["id"], 5, by=["g"], buckets=3).collect()}
     assert one == many
     for g in range(3):
         assert sorted(rank for i, rank in one if i % 3 == g) == list(range(1, 1 + sum(i % 3 == g for i in range(1000))))
