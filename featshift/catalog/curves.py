@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from featshift.catalog.base import SQL_CV, Query, customer_curves, long, r
 from featshift.operators import knee as K
+from featshift.operators.evaluate import localization_f1
 
 WINDOW_LENGTH = 2
 SENSITIVITY = 5
@@ -37,12 +38,23 @@ def _kept(spark: SparkSession, d: str) -> DataFrame:
     return K.from_start(K.drop_plateaus(_curve(spark, d)))
 
 
+def _walked(spark: SparkSession, d: str) -> DataFrame:
+    return K.walk_curves(_curve(spark, d), WINDOW_LENGTH, sensitivity=SENSITIVITY)
+
+
 def _knees(spark: SparkSession, d: str) -> DataFrame:
-    return K.locate_knee(_measured(spark, d), SENSITIVITY)
+    return _walked(spark, d).filter("position = 1").select("run_id", "knee_x", "iteration_knee")
 
 
 def knee_query(spark: SparkSession, d: str) -> DataFrame:
-    offline = _knees(spark, d)
+    return _walked(spark, d).filter("position = 1").select(
+        "run_id", long("knee_x").alias("knee_x"), long("iteration_knee").alias("iteration_knee"), long("online_x").alias("knee_online")
+    )
+
+
+def knee_steps_query(spark: SparkSession, d: str) -> DataFrame:
+    """The same knees by the single steps."""
+    offline = K.locate_knee(_measured(spark, d), SENSITIVITY)
     online = K.locate_knee(_measured(spark, d), SENSITIVITY, online=True).select(
         "run_id", F.col("knee_x").alias("knee_online")
     )
@@ -71,13 +83,25 @@ def trim_scores_query(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def table_query(spark: SparkSession, d: str) -> DataFrame:
-    return K.curve_table(_measured(spark, d), _knees(spark, d), 100).select(
+def _table_columns(table: DataFrame, *more: str) -> DataFrame:
+    return table.select(
         "run_id", long("x").alias("x"), r("tvd").alias("tvd"), r("tvd_smooth").alias("tvd_smooth"),
-        r("percent_removed").alias("percent_removed"), long("is_knee").alias("is_knee"),
+        r("percent_removed").alias("percent_removed"), long("is_knee").alias("is_knee"), *(r(c).alias(c) for c in more),
     )
 
 
+def table_query(spark: SparkSession, d: str) -> DataFrame:
+    return _table_columns(K.curve_table(_walked(spark, d), 100))
+
+
+def table_f1_query(spark: SparkSession, d: str) -> DataFrame:
+    """With the F1 of what was removed so far: a feature per iteration, corrupted where x is a multiple of 3."""
+    curve = _curve(spark, d)
+    report = curve.select("run_id", F.col("x").alias("feature"), F.col("iteration").alias("ranking"))
+    truth = curve.select("run_id", F.col("x").alias("feature"), (F.col("x") % 3 == 0).cast("int").alias("is_corrupted"))
+    return _table_columns(K.curve_table(_walked(spark, d), 100, localization_f1(report, truth)), "f1")
+
+
 # --- the same steps in SQL -------------------------------------------------------
 # The smoothing weights are the closed form for a quartic (Madden 1978).
 
@@ -134,6 +158,11 @@ knees AS (SELECT run_id, coalesce(max(x) FILTER (x <= t), min(x)) AS knee_x, gre
 _FULL = _MEASURED + _kept_sql("measured") + _KNEE
 _OUT = "SELECT run_id, CAST(x AS BIGINT) AS x, round(y, 4) + 0.0 AS y FROM"
 
+_KNEE_SQL = f"""WITH {_FULL} SELECT run_id, CAST(knee_x AS BIGINT) AS knee_x, iteration_knee,
+CAST(knee_online AS BIGINT) AS knee_online FROM knees"""
+_TABLE_SQL = """SELECT run_id, CAST(x AS BIGINT) AS x, round(greatest(0.0, 2 * y_raw - 1), 4) + 0.0 AS tvd, round(greatest(0.0, 2 * y - 1), 4) + 0.0 AS tvd_smooth,
+       round(100.0 * x / 100, 4) + 0.0 AS percent_removed, CAST(x = knee_x AS BIGINT) AS is_knee"""
+
 QUERIES = [
     Query("curve_densify", lambda s, d: _points(K.densify(_curve(s, d))), f"WITH {_DENSE} {_OUT} dense"),
     Query("curve_savgol", lambda s, d: _points(_smooth(s, d)), f"WITH {_SMOOTH} {_OUT} smooth"),
@@ -146,15 +175,19 @@ QUERIES = [
     Query("curve_plateaus", lambda s, d: _points(K.drop_plateaus(_curve(s, d))), f"WITH {SQL_CV}{_kept_sql('cv')} {_OUT} steps"),
     Query("curve_start", lambda s, d: _points(_kept(s, d)), f"WITH {SQL_CV}{_kept_sql('cv')} {_OUT} kept"),
     Query("curve_extend", lambda s, d: _points(K.extend(_kept(s, d), SENSITIVITY)), f"WITH {SQL_CV}{_kept_sql('cv')}{_EXTENDED} {_OUT} ext"),
-    Query("curve_knee", knee_query, f"""WITH {_FULL} SELECT run_id, CAST(knee_x AS BIGINT) AS knee_x, iteration_knee,
-CAST(knee_online AS BIGINT) AS knee_online FROM knees"""),
+    Query("curve_knee", knee_query, _KNEE_SQL),
+    Query("curve_knee_steps", knee_steps_query, _KNEE_SQL),
     Query("trim_to_knee", trim_query, f"""WITH {_FULL}
 SELECT run_id, CAST(x AS BIGINT) AS feature, CAST(iteration < iteration_knee AS BIGINT) AS mask,
        CAST(CASE WHEN iteration < iteration_knee THEN iteration ELSE 0 END AS BIGINT) AS ranking,
        CASE WHEN iteration < iteration_knee THEN round(y, 4) + 0.0 ELSE 0.0 END AS importance FROM cv JOIN knees USING (run_id)"""),
     Query("trim_scores", trim_scores_query, f"""WITH {_FULL}
 SELECT run_id, CAST(iteration AS BIGINT) AS iteration, round(y, 4) + 0.0 AS y FROM cv JOIN knees USING (run_id) WHERE iteration <= iteration_knee"""),
-    Query("curve_table", table_query, f"""WITH {_FULL}
-SELECT run_id, CAST(x AS BIGINT) AS x, round(greatest(0.0, 2 * y_raw - 1), 4) + 0.0 AS tvd, round(greatest(0.0, 2 * y - 1), 4) + 0.0 AS tvd_smooth,
-       round(100.0 * x / 100, 4) + 0.0 AS percent_removed, CAST(x = knee_x AS BIGINT) AS is_knee FROM measured JOIN knees USING (run_id)"""),
+    Query("curve_table", table_query, f"WITH {_FULL} {_TABLE_SQL} FROM measured JOIN knees USING (run_id)"),
+    Query("curve_table_f1", table_f1_query, f"""WITH {_FULL},
+hits AS (SELECT a.run_id, a.x, count(b.x) FILTER (b.iteration < a.iteration AND b.x % 3 = 0) AS tp,
+                count(b.x) FILTER (b.iteration < a.iteration AND b.x % 3 <> 0) AS fp, count(b.x) FILTER (b.x % 3 = 0) AS n
+         FROM cv a JOIN cv b ON a.run_id = b.run_id GROUP BY a.run_id, a.x)
+{_TABLE_SQL}, round(CASE WHEN fp + n + tp > 0 THEN 2.0 * tp / (fp + n + tp) ELSE 1.0 END, 4) + 0.0 AS f1
+FROM measured JOIN knees USING (run_id) JOIN hits USING (run_id, x)"""),
 ]

@@ -1,16 +1,19 @@
 """From a measured curve to its knee, for many runs in one job.
 
 A curve has one point per iteration: ``x`` features removed so far (0, increasing)
-and ``y`` the balanced accuracy. Everything is a window or an equi-join per run; a
-run has at most one densified point per feature.
+and ``y`` the balanced accuracy. ``walk_curves`` goes all the way with one shuffle by
+run; the single steps are windows or equi-joins per run. A run has at most one
+densified point per feature.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -203,6 +206,80 @@ def locate_knee(
     )
 
 
+def _weights(window: int, polyorder: int) -> np.ndarray:
+    half = window // 2
+    return np.linalg.pinv(np.vander(np.arange(-half, half + 1) / max(half, 1), polyorder + 1, increasing=True))[0]
+
+
+def _smoothed(x: np.ndarray, y: np.ndarray, window_length: int, polyorder: int) -> np.ndarray:
+    """The smoothed, falling, floored curve at the measured points."""
+    last = int(x[-1])
+    spread = last / (len(x) - 1) if len(x) > 1 else 0.0
+    window = max(MIN_WINDOW, int(spread * window_length // 2) * 2 + 1)
+    dense = np.interp(np.arange(last + 1), x, y)
+    around = np.clip(np.arange(last + 1)[:, None] + np.arange(-(window // 2), window // 2 + 1), 0, last)
+    return np.maximum(np.minimum.accumulate(dense[around] @ _weights(window, polyorder)), FLOOR)[x]
+
+
+def _knees(x: np.ndarray, y: np.ndarray, sensitivity: int) -> tuple[int | None, int | None, int]:
+    """First and last knee of the smoothed curve, and its first kept point."""
+    two = np.array([float(Decimal(repr(float(v))).quantize(Decimal("0.01"), ROUND_HALF_UP)) for v in y])
+    changes = np.concatenate(([True], two[1:] != two[:-1]))
+    x, two = x[changes], two[changes]
+    low = np.flatnonzero(two < START_BELOW)
+    x, two = (x[low[0] :], two[low[0] :]) if len(low) else (x, two)
+    step = int(np.diff(x).max()) if len(x) > 1 else 1
+    tail = sensitivity + TAIL_POINTS
+    xs = np.concatenate(([x[0] - 1], x, x[-1] + step * np.arange(1, tail + 1)))
+    ys = np.concatenate(([1.0], two, np.full(tail, two[-1])))
+    if ys.max() == ys.min():
+        return None, None, int(x[0])
+    d = 1.0 - (ys - ys.min()) / (ys.max() - ys.min()) - (xs - xs[0]) / (xs[-1] - xs[0])
+    peak = limit = first = online = None
+    for k in range(len(d)):
+        at_left, at_right = k == 0, k + 1 == len(d)
+        highest = (at_left or d[k] >= d[k - 1]) and (at_right or d[k] >= d[k + 1])
+        lowest = (at_left or d[k] <= d[k - 1]) and (at_right or d[k] <= d[k + 1])
+        if highest:
+            peak, limit = int(xs[k]), d[k] - sensitivity / (len(d) - 1)
+        if lowest:
+            limit = 0.0
+        if peak is not None and limit is not None and not at_right and d[k + 1] < limit:
+            first, online = (peak if first is None else first), peak
+    return first, online, int(x[0])
+
+
+def walk_curves(
+    curve: DataFrame, window_length: int = 2, polyorder: int = 4, sensitivity: int = 5, no_knee: str = "first", run: str = "run_id"
+) -> DataFrame:
+    """``(run, position, x, y_raw, y, knee_x, iteration_knee, online_x, iteration_online)`` per measured point.
+
+    The same as ``smooth_curve`` and ``locate_knee`` (without and with ``online``), but every
+    run is walked through as a whole after one shuffle. ``position`` counts the measured points
+    of a run from 1; the knee columns are equal in all of them. Rows without a run, x or y are left out.
+    """
+    if no_knee not in ("first", "last"):
+        raise ValueError("no_knee must be 'first' or 'last'")
+
+    def walk(points: pa.Table) -> pa.Table:
+        points = points.sort_by("x")
+        x, raw = points.column("x").to_numpy(), points.column("y").to_numpy()
+        y = _smoothed(x, raw, window_length, polyorder)
+        first, online, start = _knees(x, y, sensitivity)
+        columns = {run: points.column(run), "position": np.arange(1, len(x) + 1, dtype=np.int32), "x": x.astype(np.int32), "y_raw": raw, "y": y}
+        for name, found in (("knee", first), ("online", online)):
+            target = (start if no_knee == "first" else x[-1]) if found is None else start if found == -1 else found
+            inside = int(np.count_nonzero(x <= target))
+            columns[f"{name}_x"] = np.full(len(x), x[max(inside, 1) - 1], dtype=np.int32)
+            columns[f"iteration_{name}"] = np.full(len(x), max(inside, 1), dtype=np.int32)
+        return pa.table(columns)
+
+    kind = curve.schema[run].dataType.simpleString()
+    schema = f"`{run}` {kind}, position int, x int, y_raw double, y double, knee_x int, iteration_knee int, online_x int, iteration_online int"
+    points = curve.select(run, F.col("x").cast("long").alias("x"), F.col("y").cast("double").alias("y")).dropna()
+    return points.groupBy(run).applyInArrow(walk, schema)
+
+
 def trim_report(report: DataFrame, knees: DataFrame, run: str = "run_id") -> DataFrame:
     """Feature report with everything removed at or after the knee iteration set back to 0."""
     late = F.col("ranking") >= F.col("iteration_knee")
@@ -222,15 +299,25 @@ def trim_iterations(rows: DataFrame, knees: DataFrame, run: str = "run_id") -> D
     ).drop("iteration_knee")
 
 
-def curve_table(smoothed: DataFrame, knees: DataFrame, n_features: int | Column, run: str = "run_id") -> DataFrame:
-    """What a plot of the evolution needs: TVD, smoothed TVD, share removed and the knee mark."""
+def curve_table(
+    walked: DataFrame, n_features: int | Column, f1: DataFrame | None = None, run: str = "run_id"
+) -> DataFrame:
+    """What a plot of the evolution needs: TVD, smoothed TVD, share removed and the knee mark.
+
+    ``walked`` has (run, position, x, y_raw, y, knee_x). With ``f1``, rows (run, iteration, f1) of
+    ``localization_f1``, there is a column ``f1`` too, NULL after the last iteration it knows.
+    """
     total = F.lit(n_features) if isinstance(n_features, int) else n_features
 
     def tvd(c: str) -> Column:
         return F.greatest(F.lit(0.0), 2.0 * F.col(c) - 1.0)
 
-    return smoothed.join(knees.select(run, "knee_x"), run).select(
+    columns = [
         run, "x", tvd("y_raw").alias("tvd"), tvd("y").alias("tvd_smooth"),
         (100.0 * F.col("x") / total).alias("percent_removed"),
         (F.col("x") == F.col("knee_x")).cast("int").alias("is_knee"),
-    )
+    ]
+    if f1 is None:
+        return walked.select(*columns)
+    steps = f1.select(run, F.col("iteration").cast("int").alias("position"), "f1")
+    return walked.join(steps, [run, "position"], "left").select(*columns, "f1")

@@ -190,11 +190,11 @@ def _result(spark, pair, config, rounds, removed, pending, curve, log) -> Locati
     report = feature_report(features, cuts).select(run, "*")
     models = rounds.models
     if config.find_best == "knee-balanced" and len(curve) > 1:
-        smoothed = K.smooth_curve(points, config.window_length, config.polyorder)
-        found = K.locate_knee(smoothed, config.sensitivity, config.online, config.no_knee).first()
-        last, x = found["iteration_knee"], found["knee_x"]
+        walked = K.walk_curves(points, config.window_length, config.polyorder, config.sensitivity, config.no_knee)
+        found = walked.filter("position = 1").first()
+        last, x = (found["iteration_online"], found["online_x"]) if config.online else (found["iteration_knee"], found["knee_x"])
     else:
-        smoothed = points.select("run_id", "x", F.col("y").alias("y_raw"), "y")
+        walked = points.select("run_id", F.col("iteration").alias("position"), "x", F.col("y").alias("y_raw"), "y")
         last, x = curve[-1][1], curve[-1][2]
     knees = spark.createDataFrame([(0, x, last)], "run_id int, knee_x int, iteration_knee int")
     # The cut of iteration i is applied in round i + 1, so rankings run below the last round.
@@ -206,7 +206,7 @@ def _result(spark, pair, config, rounds, removed, pending, curve, log) -> Locati
         summary=_summary(scores),
         cuts=cuts.filter(F.col("iteration") < last),
         pending=spark.createDataFrame(pending, "feature string, position int, importance double"),
-        curve=K.curve_table(smoothed, knees, len(pair.features)).drop("run_id"),
+        curve=K.curve_table(walked.withColumn("knee_x", F.lit(x)), len(pair.features)).drop("run_id"),
         log=run_log.filter(F.col("iteration") <= last),
         n_iterations=last,
         n_corrupted=x,

@@ -160,6 +160,26 @@ def test_knee_edge_cases(spark):
     assert last[2] == 4
 
 
+def test_walked_curves_are_the_steps_in_one_shuffle(spark):
+    rng = np.random.default_rng(6)
+    runs = [[(0, 0.6)], [(0, 0.7), (3, 0.7), (5, 0.7)], [(0, 1.0), (4, 1.0)], [(2 * i, max(0.5, 1.0 - 0.125 * i)) for i in range(10)]]
+    runs += [[(3 * i + i % 2, 0.45 + 0.55 * math.exp(-i / 4) + 0.04 * rng.normal()) for i in range(14)] for _ in range(6)]
+    table = curve(spark, *runs)
+    for rule in ("first", "last"):
+        walked = K.walk_curves(table, no_knee=rule)
+        got = walked.toPandas().sort_values(["run_id", "x"]).reset_index(drop=True)
+        steps = K.smooth_curve(table)
+        want = steps.toPandas().sort_values(["run_id", "x"]).reset_index(drop=True)
+        assert np.allclose(got[["x", "y_raw", "y"]], want[["x", "y_raw", "y"]]) and (got["position"] == got.groupby("run_id").cumcount() + 1).all()
+        heads = got[got["position"] == 1].set_index("run_id")
+        for online, names in ((False, ["knee_x", "iteration_knee"]), (True, ["online_x", "iteration_online"])):
+            knees = K.locate_knee(steps, online=online, no_knee=rule).toPandas().set_index("run_id").sort_index()
+            assert (heads[names].to_numpy() == knees[["knee_x", "iteration_knee"]].to_numpy()).all()
+    plan = K.walk_curves(table)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "FlatMapGroupsInArrow" in plan
+    assert K.walk_curves(table.limit(0)).count() == 0
+
+
 def test_localisation_f1(spark):
     report = spark.createDataFrame([(0, "a", 1), (0, "b", 2), (0, "c", 0), (1, "a", 0)], "run_id int, feature string, ranking int")
     truth = spark.createDataFrame([(0, "a", 1), (0, "b", 0), (0, "c", 1), (1, "a", 0)], "run_id int, feature string, is_corrupted int")
