@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featshift.operators.blocks import row_slices
-from featshift.operators.rank import running_totals, seeded_rank, value_bucket
+from featshift.operators.rank import in_order, running_totals, seeded_rank
 from featshift.sources.pair import MISSING, ShiftPair
 from featshift.storage import fresh_path, materialize
 
@@ -51,7 +51,8 @@ def worst_rows(scored: DataFrame, key: Sequence[str], quota: int, seed: int | st
     """
     bad = scored.filter(F.col("p1") > BAD_ABOVE)
     counts = materialize(bad.groupBy(F.col("p1").alias("_p")).agg(F.count("*").alias("_n")), "score-counts")
-    running = running_totals(counts, {"_upto": F.col("_n")}, -value_bucket(counts, "_p"), [F.desc("_p")])
+    ranges = in_order(counts, [F.desc("_p")], counts.count())
+    running = running_totals(ranges, {"_upto": F.col("_n")}, F.col("_bucket"), [F.desc("_p")])
     edge = running.filter(F.col("_upto") >= quota).agg(
         F.max("_p").alias("p"), F.max_by(F.col("_upto") - F.col("_n"), "_p").alias("above")
     ).first()

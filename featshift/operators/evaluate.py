@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from featshift.functions.scores import RANKING, Scored, metric_column
-from featshift.operators.rank import running_totals, value_bucket
+from featshift.operators.rank import in_order, running_totals
 from featshift.storage import materialize
 
 
@@ -36,7 +36,7 @@ def ranking_scores(scored: DataFrame, by: Sequence[str] = (), columns: Scored =
     """``roc_auc`` and ``average_precision`` per group, from counts per distinct probability.
 
     Equal probabilities are folded together before any shuffle of rows, and the
-    running counts go through quantile buckets, so neither a frequent
+    running counts go through ranges of them, so neither a frequent
     probability nor one large group ends up in a single task.
     """
     by = list(by)
@@ -44,10 +44,11 @@ def ranking_scores(scored: DataFrame, by: Sequence[str] = (), columns: Scored =
     counts = scored.groupBy(*by, F.col(columns.p1).alias("_p")).agg(
         F.count_if(is_query).alias("_pos"), F.count_if(~is_query).alias("_neg")
     )
-    # Read three times below; the scored rows are made once.
+    # Counted, sampled and shuffled below; the scored rows are made once.
     counts = materialize(counts, "score-counts")
+    ranges = in_order(counts, [*by, F.desc("_p")], counts.count())
     running = running_totals(
-        counts, {"_cpos": F.col("_pos"), "_cneg": F.col("_neg")}, -value_bucket(counts, "_p"), [F.desc("_p")], by
+        ranges, {"_cpos": F.col("_pos"), "_cneg": F.col("_neg")}, F.col("_bucket"), [F.desc("_p")], by
     )
     # Going down in p: each negative outranked by _cpos - _pos positives, half for its ties.
     wins = F.col("_neg") * (F.col("_cpos") - F.col("_pos") + F.col("_pos") / 2)

@@ -7,6 +7,7 @@ window inside a bucket, seeded ranks with a place in a sorted, stored bucket.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,7 @@ from featshift.storage import materialize
 
 # Several buckets for each shuffle partition, so that hashing buckets to partitions evens out.
 BUCKETS_PER_PARTITION = 16
-VALUE_BUCKETS = 256
+ROWS_PER_BUCKET = 100_000
 
 
 def running_totals(
@@ -56,17 +57,15 @@ def running_totals(
     return joined.drop("_bucket", *[f"_before_{n}" for n in measures])
 
 
-def value_bucket(values: DataFrame, column: str) -> Column:
-    """Bucket of a number, never decreasing with it: how many of 255 quantiles lie below it.
+def in_order(df: DataFrame, order: Sequence[str | Column], rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """``df`` stored in ranges of ``order``, numbered along it in ``_bucket``.
 
-    The quantiles only balance the buckets, so approximate ones do; fold equal values
-    first, or a frequent value fills its bucket.
+    A sample sort: Spark samples the rows for splits, whose number follows ``rows``, the size of ``df``.
+    Fold equal rows first, or a frequent value fills its range; ``df`` should be stored, as sampling reads it too.
     """
-    levels = [i / VALUE_BUCKETS for i in range(1, VALUE_BUCKETS)]
-    splits = values.agg(F.percentile_approx(column, levels, 16 * VALUE_BUCKETS)).first()[0]
-    if not splits:
-        return F.lit(0)
-    return F.size(F.filter(F.lit(splits), lambda s: s < F.col(column)))
+    wanted = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / rows_per_bucket))
+    ranges = df.repartitionByRange(wanted, *order).withColumn("_bucket", F.spark_partition_id())
+    return materialize(ranges, "ranges")
 
 
 def seeded_rank(

@@ -1,12 +1,13 @@
 """One-dimensional transport distances along many directions at once.
 
-Values are folded per direction, ranked through value buckets and laid out on the
+Values are folded per direction, ranked by a sample sort and laid out on the
 unit interval of mass. That interval is cut into equal pieces, so each window works
 on about the same mass, whatever the distribution or the number of equal values.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,46 +18,38 @@ from pyspark.sql import functions as F
 
 from featshift.functions.hashing import unit_directions
 from featshift.operators.blocks import check_dimension, matrix, non_finite, require_finite
-from featshift.operators.rank import running_totals
+from featshift.operators.rank import in_order, running_totals
 from featshift.sources.pair import ShiftPair
 from featshift.storage import materialize
 
-VALUE_BUCKETS = 256
-SPLIT_ROWS = 100_000
-_LONG = "projection int, side int, value double, weight bigint"
+#: Distinct values for each piece of the unit interval of mass, and the least number of pieces.
+PIECE_VALUES, LEAST_PIECES = 100_000, 256
 
 
-def _project(points: DataFrame, directions: np.ndarray, splits: np.ndarray | None = None) -> DataFrame:
-    """Long table of projected values; with ``splits`` each value gets its bucket."""
-    spark = points.sparkSession
-    shared = spark.sparkContext.broadcast((directions, splits))
+def _project(points: DataFrame, directions: np.ndarray) -> DataFrame:
+    """Long table of projected values."""
+    shared = points.sparkSession.sparkContext.broadcast(directions)
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        axes, cuts = shared.value
         for batch in batches:
             x, side = matrix(batch["vec"]), batch["side"].to_numpy()
-            for j, axis in enumerate(axes):
-                value = (x * axis).sum(axis=1)
-                out = pd.DataFrame({"projection": j, "side": side, "value": value, "weight": 1})
-                if cuts is not None:
-                    out["bucket"] = np.searchsorted(cuts[j], value, side="left")
-                yield out
+            for j, axis in enumerate(shared.value):
+                yield pd.DataFrame({"projection": j, "side": side, "value": (x * axis).sum(axis=1), "weight": 1})
 
-    schema = _LONG + (", bucket int" if splits is not None else "")
-    return points.select("vec", "side").mapInPandas(project, schema)
+    return points.select("vec", "side").mapInPandas(project, "projection int, side int, value double, weight bigint")
 
 
 def directional_wasserstein(
-    reference: DataFrame, query: DataFrame, directions: Sequence[Sequence[float]], pieces: int = 256
+    reference: DataFrame, query: DataFrame, directions: Sequence[Sequence[float]], pieces: int | None = None
 ) -> DataFrame:
     """``(projection, cost)``: squared 2-Wasserstein distance along every direction.
 
-    Exact for samples of different sizes. The split values only balance the work; they
-    come from a sample of rows, the distances from all rows.
+    Exact for samples of different sizes. Values are put in order by a sample sort; the
+    number of its ranges and of the ``pieces`` follows the number of distinct values.
     """
     axes = np.asarray(directions, dtype=float)
     both = reference.select("vec", F.lit(0).alias("side")).unionByName(query.select("vec", F.lit(1).alias("side")))
-    # Read three times below; what it took to make the vectors is paid once.
+    # Read twice below; what it took to make the vectors is paid once.
     both = materialize(both, "vectors")
     size = F.size("vec")
     sides = both.groupBy("side").agg(
@@ -66,18 +59,12 @@ def directional_wasserstein(
     n = {0: 0, 1: 0} | {s["side"]: s["n"] for s in sides}
     if any(length != axes.shape[1] for s in sides for length in (s["lo"], s["hi"])):
         raise ValueError("directions and vectors differ in length")
-    share = min(1.0, SPLIT_ROWS / max(1, n[0] + n[1]))
-    probe = both.sample(share, seed=0) if share < 1.0 else both
-    levels = [i / VALUE_BUCKETS for i in range(1, VALUE_BUCKETS)]
-    rows = _project(probe, axes).groupBy("projection").agg(F.percentile_approx("value", levels, 2000).alias("cuts")).collect()
-    splits = np.zeros((len(axes), VALUE_BUCKETS - 1))
-    for row in rows:
-        splits[row["projection"]] = row["cuts"]
-    folded = _project(both, axes, splits).groupBy("projection", "side", "bucket", "value").agg(
-        F.sum("weight").alias("weight")
-    )
+    folded = _project(both, axes).groupBy("projection", "side", "value").agg(F.sum("weight").alias("weight"))
     folded = materialize(folded, "projected")
-    ranked = running_totals(folded, {"upto": F.col("weight")}, F.col("bucket"), ["value"], ["projection", "side"])
+    n_values = folded.count()
+    pieces = pieces or max(LEAST_PIECES, math.ceil(n_values / PIECE_VALUES))
+    ranges = in_order(folded, ["projection", "side", "value"], n_values)
+    ranked = running_totals(ranges, {"upto": F.col("weight")}, F.col("_bucket"), ["value"], ["projection", "side"])
     size = F.when(F.col("side") == 0, F.lit(n[0])).otherwise(F.lit(n[1]))
     placed = ranked.select(
         "projection", "side", "value",

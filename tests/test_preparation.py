@@ -10,7 +10,7 @@ from featshift.operators.corrupt import CODES, corrupt_features, network_weights
 from featshift.operators.prepare import (
     align_rows, half_split, minmax_scale, pick_count, stratified_folds, stratified_holdout, write_back,
 )
-from featshift.operators.rank import running_totals, seeded_rank
+from featshift.operators.rank import in_order, running_totals, seeded_rank
 from featshift.sources.gaussian import gaussian_pair, query_covariance
 from featshift.sources.pair import ShiftPair, fill_missing, schema_differences
 
@@ -33,6 +33,17 @@ def test_rank_is_a_permutation_and_ignores_partitioning(spark):
         assert sorted(rank for i, rank in one if i % 3 == g) == list(range(1, 1 + sum(i % 3 == g for i in range(1000))))
 
 
+def test_ranges_follow_the_number_of_rows(spark):
+    rows = spark.range(20_000).withColumn("v", F.pow(F.col("id"), 3))  # far from evenly spaced
+    few, many = (in_order(rows, [F.desc("v")], 20_000, rows_per_bucket=n) for n in (20_000, 500))
+    largest = [b.groupBy("_bucket").count().agg(F.max("count")).first()[0] for b in (few, many)]
+    assert many.select("_bucket").distinct().count() > 30 and largest[1] < 1500 < largest[0]
+    ends = many.groupBy("_bucket").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("_bucket").collect()
+    assert all(a["lo"] > b["hi"] for a, b in zip(ends[:-1], ends[1:]))
+    got = running_totals(many, {"n": F.lit(1)}, F.col("_bucket"), [F.desc("v")])
+    assert got.filter(F.col("n") != 20_000 - F.col("id")).count() == 0
+
+
 def test_running_totals_across_buckets(spark):
     rows = spark.createDataFrame([(i, i // 10, float(i)) for i in range(57)], "i int, b int, v double")
     got = running_totals(rows, {"t": F.col("v")}, F.col("b"), ["i"]).orderBy("i").toPandas()
