@@ -335,17 +335,6 @@ def knn_join(
     queries = materialize(queries.select("id", "vec"), "queries")
     require_dimension(queries, index.dim)
 
-    def rule(m: BlockMap, at: Bounds, _: pd.DataFrame) -> np.ndarray:
-        reach = np.full(len(at.low), np.inf)
-        if at.to_pivots.shape[1] >= need:
-            reach = np.partition(at.to_pivots, need - 1, axis=1)[:, need - 1]
-        order = np.argsort(at.high, axis=1)
-        enough = np.cumsum(m.count[order], axis=1) >= need
-        hit = enough.argmax(axis=1)
-        covered = at.high[np.arange(len(hit)), order[np.arange(len(hit)), hit]]
-        reach = np.minimum(reach, np.where(enough.any(axis=1), covered, np.inf))
-        return at.low <= (reach * (1 + 1e-9) + 2 * at.slack)[:, None]
-
     names = ["id", "neighbour", "distance", *carry]
     schema = T.StructType(
         [_field(queries, "id", "id"), _field(points, "id", "neighbour"), T.StructField("distance", T.DoubleType()),
@@ -360,9 +349,34 @@ def knn_join(
         out.update({c: right[c].to_numpy()[s] for c in carry})
         return pd.DataFrame(out, columns=names)
 
-    found = visit_blocks(index, queries, rule, nearest, schema)
     order = W.partitionBy("id").orderBy("distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    # The nearest blocks first: the k-th distance there bounds what the other blocks have to beat.
+    near = materialize(best(visit_blocks(index, queries, lambda m, at, _: first_blocks(m, at, need), nearest, schema)), "near")
+    reach = near.filter(F.col("rank") == k).select("id", F.col("distance").alias("reach"))
+    bounded = materialize(queries.join(reach, "id", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf")))), "queries")
+    far = visit_blocks(index, bounded, lambda m, at, q: other_blocks(m, at, need, q["reach"].to_numpy()), nearest, schema)
+    return best(near.drop("rank").unionByName(far))
+
+
+def first_blocks(m: BlockMap, at: Bounds, need: int) -> np.ndarray:
+    """Mask of the blocks nearest to each query point that hold ``need`` points together."""
+    held = m.count > 0
+    order = np.lexsort((at.high, np.where(held, at.low, np.inf)), axis=1)
+    before = np.cumsum(m.count[order], axis=1) - m.count[order]
+    mask = np.empty(order.shape, dtype=bool)
+    np.put_along_axis(mask, order, before < need, axis=1)
+    return mask & held
+
+
+def other_blocks(m: BlockMap, at: Bounds, need: int, reach: np.ndarray) -> np.ndarray:
+    """Mask of the blocks not among the first ones that can hold a point within ``reach`` and within the pivots' bounds."""
+    if at.to_pivots.shape[1] >= need:
+        reach = np.minimum(reach, np.partition(at.to_pivots, need - 1, axis=1)[:, need - 1])
+    return (at.low <= (reach * (1 + 1e-9) + 2 * at.slack)[:, None]) & ~first_blocks(m, at, need)
 
 
 def nearest_in_piece(

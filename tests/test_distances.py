@@ -197,3 +197,24 @@ def test_transport_cost(spark, n, m):
     got = {r["projection"]: r["cost"] for r in directional_wasserstein(frame(spark, a), frame(spark, b), axes).collect()}
     for j, axis in enumerate(axes):
         assert got[j] == pytest.approx(wasserstein(a @ np.array(axis), b @ np.array(axis)), rel=1e-9)
+
+
+@pytest.mark.parametrize("dim, spread, most", [(4, 1.0, 0.15), (16, 0.02, 0.3)])
+def test_two_passes_reach_all_neighbours_in_few_blocks(dim, spread, most):
+    rng = np.random.default_rng(dim)
+    centres = rng.random((64, dim))
+    x = rng.random((20_000, dim)) if spread == 1.0 else centres[rng.integers(64, size=20_000)] + spread * rng.normal(size=(20_000, dim))
+    pivots, k = x[:100], 5
+    cell = B.squared_distances(x, pivots).argmin(axis=1)
+    radius = B.exact_distances(x, pivots[cell])
+    inner, outer = (np.array([f(radius[cell == c]) for c in range(100)]) for f in (np.min, np.max))
+    m = B.BlockMap(pivots, [], np.arange(100), inner, outer, np.bincount(cell, minlength=100), np.zeros((100, 1)))
+    q = x[-300:]
+    distances = np.sqrt(B.squared_distances(q, x))
+    at = m.bounds(q)
+    first = B.first_blocks(m, at, k)
+    reach = np.array([np.sort(distances[i][first[i][cell]])[k - 1] for i in range(len(q))])
+    both = first | B.other_blocks(m, at, k, reach)
+    nearest = np.argsort(distances, axis=1)[:, :k]
+    assert both[np.arange(len(q))[:, None], cell[nearest]].all()
+    assert not (first & B.other_blocks(m, at, k, reach)).any() and both.mean() < most
