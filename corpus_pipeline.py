@@ -52,9 +52,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Add the piece ids of each text and how many they are."""
+    """Add the piece ids of each text, how many they are, and the text that they decode to."""
     drop_scope(spark, "stage-benchmark")
-    encoded = pieces.encode_pieces(docs.select(*COLUMNS), tokenizer_path("piece_bpe_32k.model"))
+    encoded = pieces.encode_pieces(docs.select(*COLUMNS), tokenizer_path("piece_bpe_32k.model"), decoded="decoded")
     return encoded.withColumn("n_tokens", F.size("piece_ids").cast("long"))
 
 
@@ -75,7 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The classifier and the encoder cannot be said in SQL; tests hold the run against brute force.
+#: The classifier and the encoder cannot be said in SQL; ``tests/llm/test_pipeline.py`` holds the run against plain Python.
 ORACLE_SQL = None
 
 QUERY = Query("pipeline", run, ORACLE_SQL)
