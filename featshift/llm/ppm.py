@@ -33,8 +33,8 @@ END, START, KINDS = 256, 257, 258
 BITS = 9
 #: Text of a shard, and how much of it is worked on at once.
 SHARD_BYTES, WORK_BYTES = 12 << 20, 1 << 20
-#: Shards whose counts are merged at a time, and bytes of requests answered by one copy of a part.
-FAN_IN, ASK_BYTES = 256, 64 << 20
+#: Shards whose counts are merged at a time, bytes of requests that pass by one copy of a part, and those looked up at once.
+FAN_IN, ASK_BYTES, HELD_BYTES = 256, 256 << 20, 16 << 20
 _GRAM = np.int64((1 << BITS * (ORDER + 1)) - 1)
 _END_WORD = np.int64(-1)
 
@@ -255,32 +255,57 @@ class Contexts:
 
 
 def _answers(sent: DataFrame, model: DataFrame, low: np.ndarray) -> DataFrame:
-    """``(shard, kind, part, values)``: log-probabilities of strings, training counts of words."""
+    """``(shard, kind, part, values)``: log-probabilities of strings, training counts of words.
+
+    A part of the model and what is asked of it meet in one partition, the part first, so that
+    requests pass by it one after the other and only some of them are held at a time.
+    """
     shared = sent.sparkSession.sparkContext.broadcast(low)
 
-    def answer(key: tuple[pa.Scalar, ...], asked: pa.Table, known: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            return pa.table({"shard": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "values": pa.array([], pa.binary())})
-        kind, part = asked.column("kind")[0].as_py(), asked.column("part")[0].as_py()
-        keys = _read_keys(known.column("keys")[0].as_py() if known.num_rows else b"")
-        counts = _read(known.column("counts")[0].as_py() if known.num_rows else b"")
-        blocks = [_read_keys(x) for x in asked.column("keys").to_pylist()]
-        every, back = np.unique(np.concatenate(blocks), return_inverse=True)
-        if kind == 0:
-            values = Contexts(keys, counts, shared.value).log10(every)
-        elif len(keys):
-            at = np.minimum(np.searchsorted(keys, every), len(keys) - 1)
-            values = np.where(keys[at] == every, counts[at], 0).astype(np.float64)
-        else:
-            values = np.zeros(len(every))
-        cuts = np.cumsum([0, *map(len, blocks)])
-        return pa.table({
-            "shard": asked.column("shard"), "kind": pa.array([kind] * len(blocks), pa.int32()), "part": pa.array([part] * len(blocks), pa.int32()),
-            "values": pa.array([_stored_values(values[back[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-        })
-
-    keys = ["kind", "part", "chunk"]
-    return sent.groupBy(*keys).cogroup(model.groupBy(*keys)).applyInArrow(answer, "shard long, kind int, part int, values binary")
+    def word_counts(keys: np.ndarray, counts: np.ndarray, every: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros(len(every))
+        at = np.minimum(np.searchsorted(keys, every), len(keys) - 1)
+        return np.where(keys[at] == every, counts[at], 0).astype(np.float64)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = None, [], 0
+        known, contexts = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)), None
+
+        def answered() -> pa.RecordBatch:
+            kind, part, _ = now
+            every, back = np.unique(np.concatenate([keys for _, keys in held]), return_inverse=True)
+            values = contexts.log10(every) if kind == 0 else word_counts(*known, every)
+            cuts = np.cumsum([0, *(len(keys) for _, keys in held)])
+            found = [_stored_values(values[back[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            return pa.RecordBatch.from_pydict({
+                "shard": pa.array([shard for shard, _ in held], pa.int64()), "kind": pa.array([kind] * len(held), pa.int32()),
+                "part": pa.array([part] * len(held), pa.int32()), "values": pa.array(found, pa.binary()),
+            })
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                at = tuple(batch.column(c)[k].as_py() for c in ("kind", "part", "chunk"))
+                if at != now or size > HELD_BYTES:
+                    if held:
+                        yield answered()
+                    held, size = [], 0
+                keys = _read_keys(batch.column("keys")[k].as_py())
+                shard, counts = batch.column("shard")[k].as_py(), batch.column("counts")[k].as_py()
+                if at != now:
+                    now = at
+                    known = (keys, _read(counts)) if shard is None else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+                    contexts = Contexts(*known, shared.value) if at[0] == 0 else None
+                if shard is not None:
+                    held.append((shard, keys))
+                    size += keys.nbytes
+        if held:
+            yield answered()
+
+    columns = ["kind", "part", "chunk", "shard", "keys", "counts"]
+    rows = model.withColumn("shard", F.lit(None).cast("long")).select(*columns).unionByName(sent.withColumn("counts", F.lit(None).cast("binary")).select(*columns))
+    rows = rows.repartition("kind", "part", "chunk").sortWithinPartitions("kind", "part", "chunk", F.col("shard").asc_nulls_first())
+    return rows.mapInArrow(task, "shard long, kind int, part int, values binary")
 
 
 def score_texts(docs: DataFrame, trained: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
