@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,17 +20,21 @@ BUCKET_BYTES = 16 << 20
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, most: int) -> Iterator[None]:
-    """Jobs that run meanwhile send batches of at most ``most`` bytes to Python, or one row."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Jobs that run meanwhile see this value of a setting."""
     before = spark.conf.get(name)
-    spark.conf.set(name, str(most))
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def arrow_batches(spark: SparkSession, most: int) -> AbstractContextManager[None]:
+    """Jobs that run meanwhile send batches of at most ``most`` bytes to Python, or one row."""
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def bucket_count(spark: SparkSession, total: float, bucket_bytes: int = BUCKET_BYTES) -> int:
     """Buckets for ``total`` bytes."""
     most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
