@@ -147,6 +147,33 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_long_lines(spark):
+    """Lines of up to 300 words that share many of them: the bound by shared prefix words loses no match."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(500)]
+    texts: list[str] = []
+    for _ in range(30):
+        base = rng.sample(words, rng.randint(20, 300))
+        copies = [base]
+        for share in (0.03, 0.08, 0.1, 0.12, 0.2):
+            change = set(rng.sample(range(len(base)), int(share * len(base))))
+            copies.append([rng.choice(words) if k in change else w for k, w in enumerate(base)])
+        texts += ["\n".join(" ".join(c) for c in copies[:2]), *(" ".join(c) for c in copies[2:])]
+    rng.shuffle(texts)
+    seen: list[set[str]] = []
+    want = {}
+    for k, text in enumerate(texts):
+        kept = []
+        for line in text.split("\n"):
+            mine = set(line.split())
+            if not any(len(mine & x) * 100 >= len(mine | x) * 80 for x in seen):
+                kept.append(line)
+            seen.append(mine)
+        want[k] = "\n".join(kept)
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == want
+
+
 def test_cap_filters(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(20, 16))
