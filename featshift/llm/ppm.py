@@ -336,7 +336,8 @@ def score_texts(docs: DataFrame, trained: str, doc_id: str = "doc_id", text: str
     asked = sent.drop("counts", "chunk").join(load, ["kind", "part"]).withColumn("chunk", F.pmod(F.xxhash64("shard"), F.col("copies")).cast("int")).drop("copies")
     copied = model.select("kind", "part", "keys", "counts").join(load, ["kind", "part"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     answers = _answers(asked, copied, low)
-    mine = answers.groupBy("shard").agg(F.collect_list(F.struct("kind", "part", "values")).alias("answers"))
+    # Dealt as the shards are kept, so that the join below moves neither side again.
+    mine = answers.repartition(shards._buckets, "shard").groupBy("shard").agg(F.collect_list(F.struct("kind", "part", "values")).alias("answers"))
     known = shards.join(mine.hint("shuffle_hash"), "shard", "left")
     floor = math.log10(n_train + 0.1 * (n_kinds + 1))
     kind_of = docs.schema[doc_id].dataType.simpleString()

@@ -58,7 +58,7 @@ def shelve(docs: DataFrame, key: str, buckets: int) -> DataFrame:
     path = fresh_path(spark, "shelf")
     docs.write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).option("path", path).saveAsTable(name)
     stored = spark.table(name)
-    stored._stored_path = path
+    stored._stored_path, stored._buckets = path, buckets
     spark.sql(f"DROP TABLE {name}")
     return stored
 
