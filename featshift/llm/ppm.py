@@ -33,8 +33,8 @@ END, START, KINDS = 256, 257, 258
 BITS = 9
 #: Text of a shard, and how much of it is worked on at once.
 SHARD_BYTES, WORK_BYTES = 12 << 20, 1 << 20
-#: Shards whose counts are merged at a time, bytes of requests that pass by one copy of a part, and those looked up at once.
-FAN_IN, ASK_BYTES, HELD_BYTES = 256, 256 << 20, 16 << 20
+#: Shards whose counts are merged at a time, stored bytes of requests that pass by one copy of a part, and bytes of those looked up at once.
+FAN_IN, ASK_BYTES, HELD_BYTES = 256, 64 << 20, 16 << 20
 _GRAM = np.int64((1 << BITS * (ORDER + 1)) - 1)
 _END_WORD = np.int64(-1)
 
@@ -59,12 +59,15 @@ def grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _stored(values: np.ndarray) -> bytes:
-    """Long numbers byte plane by byte plane: the upper ones are all zero for small numbers and are compressed to nothing."""
-    return values.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Long numbers byte plane by byte plane, compressed: the upper planes are all zero for small numbers. Their number goes before them."""
+    planes = values.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return np.int64(len(values)).tobytes() + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _read(stored: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(stored, dtype=np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+    count = int(np.frombuffer(stored[:8], dtype=np.int64)[0])
+    planes = pa.decompress(stored[8:], decompressed_size=8 * count, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
 def _stored_keys(keys: np.ndarray) -> bytes:
