@@ -6,7 +6,7 @@ from importlib import import_module
 
 from featshift.catalog.base import Query
 
-AREAS = ("preparation", "corruption", "scoring", "curves", "locating", "distances", "correcting")
+AREAS = ("preparation", "corruption", "scoring", "curves", "locating", "logistic", "distances", "correcting")
 
 
 def all_queries() -> list[Query]:

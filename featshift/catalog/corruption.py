@@ -12,7 +12,8 @@ from featshift.catalog.base import (
     LI_FEATURES, LI_KEY, LI_KEY_SQL, SQL_LI_HALVES, Query, lineitem_pair, long, orders, r, rounded, sql_rank, sql_round,
     sql_rounded, sql_uniform,
 )
-from featshift.operators.corrupt import corrupt_features, corruption_rmse, impute_features
+from featshift.functions.hashing import driver_uniform
+from featshift.operators.corrupt import corrupt_features, corruption_rmse, impute_features, network_mix
 from featshift.sources.gaussian import gaussian_pair
 
 SEED = 1
@@ -58,6 +59,46 @@ vals AS (SELECT {', '.join(LI_FEATURES)}, {sql_rank(f'{SEED}:value', LI_KEY)} AS
 SELECT {LI_KEY_SQL}, {sql_rounded(LI_FEATURES)} FROM slots JOIN vals USING (rk)"""
 
 
+# A network of 8 units a layer, whose weights SQL can make too; the query ``corrupt_mlp`` has the full width.
+NARROW = (len(LI_FEATURES), 8, 8, 8, len(LI_FEATURES))
+
+
+def mlp_narrow(spark: SparkSession, d: str) -> DataFrame:
+    """The random network at 8 units a layer, its weights drawn from hashes of layer, input and output."""
+    layers = []
+    for layer, (fan_in, fan_out) in enumerate(zip(NARROW, NARROW[1:])):
+        draws = [[driver_uniform(f"{SEED}:weight", layer, i, j) for j in range(fan_out)] for i in range(fan_in + 1)]
+        values = (2.0 * np.array(draws) - 1.0) / np.sqrt(fan_in)
+        layers.append((values[:-1], values[-1]))
+    mixed = network_mix(lineitem_pair(spark, d, stored=True).query, LI_FEATURES, layers)
+    return mixed.select(*LI_KEY, *rounded(LI_FEATURES))
+
+
+def _mlp_sql() -> str:
+    """Layer by layer a join with the table of weights and sums by row and unit; input ``fan_in`` is the bias."""
+    last = len(NARROW) - 2
+    sizes = ", ".join(f"({layer}, {a}, {b})" for layer, (a, b) in enumerate(zip(NARROW, NARROW[1:])))
+    steps = []
+    for layer in range(last + 1):
+        out = "sum(v * w)" if layer == last else "greatest(0.0, sum(v * w))"
+        bias = f"SELECT rid, {NARROW[layer]} AS i, 1.0::DOUBLE AS v FROM points"
+        steps.append(f"x{layer + 1} AS MATERIALIZED (SELECT rid, j AS i, {out} AS v FROM (SELECT * FROM x{layer} UNION ALL {bias}) x "
+                     f"JOIN weights w ON w.layer = {layer} AND w.i = x.i GROUP BY rid, j)")
+    start = " UNION ALL ".join(f"SELECT rid, {i} AS i, {c}::DOUBLE AS v FROM points" for i, c in enumerate(LI_FEATURES))
+    value = "CASE WHEN is_binary THEN CASE WHEN v >= 0 THEN 1.0 ELSE 0.0 END WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0.0 END"
+    columns = ", ".join(sql_round(f"max(CASE WHEN i = {i} THEN {value} END)", c) for i, c in enumerate(LI_FEATURES))
+    return f"""WITH {SQL_LI_HALVES},
+points AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {LI_KEY_SQL}) AS rid FROM que),
+sizes(layer, fan_in, fan_out) AS (VALUES {sizes}),
+places AS (SELECT layer, fan_in, i, unnest(range(fan_out)) AS j FROM (SELECT *, unnest(range(fan_in + 1)) AS i FROM sizes)),
+weights AS MATERIALIZED (SELECT layer, i, j, (2.0 * {sql_uniform(f'{SEED}:weight', 'layer', 'i', 'j')} - 1.0) / sqrt(fan_in) AS w FROM places),
+x0 AS MATERIALIZED ({start}),
+{', '.join(steps)},
+spans AS (SELECT *, max(v) OVER (PARTITION BY i) AS hi, min(v) OVER (PARTITION BY i) AS lo FROM x{last + 1}),
+kinds AS (SELECT i, bool_and(v IN (0.0, 1.0)) AS is_binary FROM x0 GROUP BY i)
+SELECT {LI_KEY_SQL}, {columns} FROM spans JOIN kinds USING (i) JOIN points USING (rid) GROUP BY {LI_KEY_SQL}"""
+
+
 def impute_linear(spark: SparkSession, d: str) -> DataFrame:
     pair = lineitem_pair(spark, d)
     out = impute_features(pair.reference, pair.query, ["l_extendedprice"], ["l_quantity"], LinearRegression(solver="normal"))
@@ -147,6 +188,7 @@ QUERIES = [
     Query("corrupt_flip_60", _corrupted(6.3), _flip(0.6)),
     Query("corrupt_flip_80", _corrupted(6.4), _flip(0.8)),
     Query("corrupt_mlp", _corrupted(7)),
+    Query("corrupt_mlp_narrow", mlp_narrow, _mlp_sql()),
     Query("corrupt_permute_joint", _corrupted(8), _PERMUTE_JOINT),
     Query("impute_linear", impute_linear, f"""WITH {SQL_LI_HALVES},
 fit AS (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b FROM ref)
