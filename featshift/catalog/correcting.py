@@ -162,7 +162,7 @@ SELECT event_id, round(avg(value), 4) + 0.0 AS value, round(CASE WHEN min(dist)
   ELSE sum(value / nullif(dist, 0)) / sum(1 / nullif(dist, 0)) END, 4) + 0.0 AS weighted FROM n WHERE rk <= 3 GROUP BY event_id"""
 
 
-def _shuffled_sql(name: str, seed: str, joint: bool) -> str:
+def shuffled_sql(name: str, seed: str, joint: bool) -> str:
     key = LI_KEY_SQL
     slots = f"{name}_s AS (SELECT l_extendedprice, l_tax, {sql_rank(f'{seed}:slot', LI_KEY)} AS rk FROM ref)"
     if joint:
@@ -182,7 +182,7 @@ def _totals(source: str, label: int, table: str) -> str:
 
 
 _TRAINING = f"""WITH {SQL_LI_HALVES}, hf AS (SELECT *, {sql_rank('0:half', LI_KEY)} % 2 AS half FROM que), mine AS (SELECT * FROM hf WHERE half = 1),
-{_shuffled_sql('pj', '5:1:joint', True)}, {_shuffled_sql('pe', '5:1:each', False)}
+{shuffled_sql('pj', '5:1:joint', True)}, {shuffled_sql('pe', '5:1:each', False)}
 {_totals('reference', 0, 'ref')} UNION ALL {_totals('query', 1, 'mine')} UNION ALL {_totals('permuted_joint', 1, 'pj')}
 UNION ALL {_totals('permuted_each', 1, 'pe')} UNION ALL {_totals('epoch_0', 1, 'que')}"""
 

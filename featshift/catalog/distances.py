@@ -292,7 +292,7 @@ b0 AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j, {_DIST} AS w, (a.label
 tree AS (SELECT e.w, e.crossing FROM b0 e JOIN b9 m ON m.i = e.i AND m.j = e.j WHERE e.i < e.j AND e.w <= m.w),
 tot AS (SELECT (SELECT count(*) FROM em) AS n, count(*) AS edges, sum(w) AS total_weight, count(*) FILTER (crossing) AS cross_edges FROM tree),
 res AS (SELECT *, least(1.0, greatest(0.0, 1.0 - 2.0 * (cross_edges - 1) / n)) AS u FROM tot)"""
-_PANEL = {
+PANEL = {
     "TV": "greatest(0.0, avg(sign(p1 - 0.5) / 2) FILTER (label = 1) - avg(sign(p1 - 0.5) / 2) FILTER (label = 0))",
     "JD": _jd(_CORRECT_P), "JD_inverse": _jd(_clipped("1.0 - p1", 1e-3)),
     "SKL": _kl(_CORRECT_P, "", 1) + " + " + _kl(_clipped("1.0 - p1", 1e-3), "", 0),
@@ -325,6 +325,6 @@ UNION ALL SELECT CAST(1 AS BIGINT), count(*), count(*), count(*), CAST(1 AS BIGI
     Query("ghp_bounds", ghp, f"{_MST} SELECT round(0.5 - sqrt(u) / 2, 4) + 0.0 AS lower, round(0.5 - u / 2, 4) + 0.0 AS upper FROM res"),
     Query("divergence_tv", tv),
     Query("divergence_panel", panel),
-    Query("divergence_panel_fixed", panel_fixed, f"WITH {sql_scored(True)}, agg AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _PANEL.items()) + " FROM sc) "
-          + " UNION ALL ".join(f"SELECT '{n}' AS metric, round({n}, 4) + 0.0 AS value FROM agg" for n in _PANEL)),
+    Query("divergence_panel_fixed", panel_fixed, f"WITH {sql_scored(True)}, agg AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in PANEL.items()) + " FROM sc) "
+          + " UNION ALL ".join(f"SELECT '{n}' AS metric, round({n}, 4) + 0.0 AS value FROM agg" for n in PANEL)),
 ]
