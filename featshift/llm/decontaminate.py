@@ -17,8 +17,8 @@ from featshift.storage import materialize
 #: ASCII characters between words: all but digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A table of windows up to so many rows is sent to every executor, a larger one is shuffled.
-BROADCAST_ROWS = 200_000
+#: Windows that take up to so many bytes in memory are sent to every executor, more of them are shuffled.
+BROADCAST_BYTES = 64 << 20
 
 
 def lower_ascii(word: Column) -> Column:
@@ -42,8 +42,10 @@ def item_windows(items: DataFrame, item_id: str, text: str, size: int) -> DataFr
     )
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+def _fits(windows: DataFrame) -> bool:
+    """Whether the windows with their items, and so any table made from them, may be broadcast."""
+    row = F.octet_length(F.array_join("window", " ")) + 24 * F.size("window") + F.octet_length("item") + 64
+    return (windows.agg(F.sum(row.cast("double"))).first()[0] or 0.0) <= BROADCAST_BYTES
 
 
 def contamination(
@@ -55,30 +57,38 @@ def contamination(
     row per row of ``docs``, and the spans ``(doc_id, first, last, item)`` of all occurrences.
     Null and empty texts have no words. Rows that repeat a ``doc_id`` get the union of their
     hits; rows without one are summed up together. Items without an id or words match nothing.
+    Windows beyond ``BROADCAST_BYTES`` are joined by shuffling; a document word then takes along
+    the ``2 * size - 1`` words around it, in which every window that it can meet lies.
     """
     windows = materialize(item_windows(items, item_id, item_text, size), "windows")
     distinct = windows.select("window").distinct()
     vocabulary = distinct.select(F.explode("window").alias("word")).distinct()
-    n_windows, n_vocabulary = distinct.count(), vocabulary.count()
+    fits = _fits(windows)
+
+    def beside(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if fits else df.hint("merge")
 
     split = docs.select(F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("words"))
     seen = split.select(F.explode("words").alias("w")).select(lower_ascii(F.col("w")).alias("word"))
-    counts = seen.join(_small(vocabulary, n_vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
+    counts = seen.join(beside(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
     # Windows with a word that no document has match nothing and drop out here.
     placed = distinct.select("window", F.posexplode("window").alias("offset", "word")).join(materialize(counts, "words"), "word", "left")
     prefix = placed.groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "word")).alias("p")).filter("p.n > 0")
     prefix = materialize(prefix.select("window", "p.offset", "p.word"), "prefixes")
 
     at = split.select("doc_id", "words", F.posexplode("words").alias("position", "w"))
-    at = at.select("doc_id", "words", "position", lower_ascii(F.col("w")).alias("word"))
+    # Where nothing is shuffled, the array of the whole document is only referred to.
+    begin = F.lit(0) if fits else F.greatest(F.col("position") - (size - 1), F.lit(0))
+    near = F.col("words") if fits else F.slice("words", begin + 1, F.lit(2 * size - 1))
+    at = at.select("doc_id", near.alias("near"), begin.alias("begin"), F.size("words").alias("n"), "position", lower_ascii(F.col("w")).alias("word"))
     start = F.col("position") - F.col("offset")
     length = F.size("window")
-    met = at.join(_small(prefix, n_windows), "word").filter((start >= 0) & (start + length <= F.size("words")))
-    met = met.select("doc_id", start.alias("first"), "window", F.slice("words", start + 1, length).alias("there"))
+    met = at.join(beside(prefix), "word").filter((start >= 0) & (start + length <= F.col("n")))
+    met = met.select("doc_id", start.alias("first"), "window", F.slice("near", start - F.col("begin") + 1, length).alias("there"))
     # Compared as joined text: a lambda here would break the fused stage, and every word would carry its whole document.
     met = met.filter(lower_ascii(F.array_join("there", " ")) == F.array_join("window", " "))
     found = materialize(met.select("doc_id", "first", "window"), "hits")
-    spans = found.join(_small(windows, n_windows), "window").select("doc_id", "first", (F.col("first") + F.size("window") - 1).alias("last"), "item").distinct()
+    spans = found.join(beside(windows), "window").select("doc_id", "first", (F.col("first") + F.size("window") - 1).alias("last"), "item").distinct()
 
     positions = found.select("doc_id", F.explode(F.sequence("first", F.col("first") + F.size("window") - 1)).alias("position")).distinct()
     hits = positions.groupBy("doc_id").agg(F.count("*").alias("n_hit"))

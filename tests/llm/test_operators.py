@@ -7,6 +7,7 @@ import hashlib
 import io
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -351,3 +352,34 @@ def test_pipeline_odd_rows(docs, empty, spark, sf_dir):
             out = stage(spark, frame, sf_dir)
             assert out.count() <= frame.count()
 
+
+@pytest.mark.parametrize("most", [64 << 20, 0])
+def test_decontamination_against_brute_force(spark, monkeypatch, most):
+    """Broadcast and shuffled windows find the same words, in long texts, at both ends and with ties."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(list("abcdEF"), n)) for n in (0, 1, 3, 9, 40, 40, 3000)] + [None, "a-b, A b!", "\u00e9 a"]
+    wanted = ["a b c d", "a b", "E", "", None, " ".join(texts[4].split()[:7]), " ".join(texts[6].split()[-5:]), "a b"]
+    size = 4
+
+    def runs(text):
+        return [w.lower() for w in re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", text or "")]
+
+    windows = {}
+    for k, text in enumerate(wanted):
+        found = runs(text)
+        for at in range(max(1, len(found) - size + 1) if found else 0):
+            windows.setdefault(tuple(found[at : at + size]), set()).add(str(k))
+    want = {}
+    for k, text in enumerate(texts):
+        found, hit, named = runs(text), set(), set()
+        for window, names in windows.items():
+            for at in range(len(found) - len(window) + 1):
+                if tuple(found[at : at + len(window)]) == window:
+                    hit |= set(range(at, at + len(window)))
+                    named |= names
+        want[k] = (len(found), len(hit), sorted(named))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("word", F.lit("x")).withColumn("window", F.lit(1))
+    items = spark.createDataFrame(list(enumerate(wanted)), "item_id long, text string")
+    got = decontaminate.contamination(docs, items, size=size)[0].collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in got} == want and len(got) == len(texts)
