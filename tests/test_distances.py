@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from featshift.operators import blocks as B
 from featshift.operators import divergence as D
@@ -100,6 +102,31 @@ def test_kernel_sums_leave_one_out(spark, tiny_blocks):
             assert got.get((r["id"], t), 0.0) == pytest.approx(kernel[r["id"], tags == t].sum(), abs=1e-12)
 
 
+def test_a_point_is_sent_once_for_blocks_that_lie_together(spark, tiny_blocks):
+    """In high dimension all blocks are visited; every point meets all points, but is not copied for each block."""
+    x = np.random.default_rng(12).normal(size=(240, 12))
+    points = frame(spark, x)
+    index = B.build_index(points)
+    blocks = len(index.map.count)
+
+    def meet(left, right):
+        return pd.DataFrame({"id": left["id"], "met": np.full(len(left), len(right), dtype=np.int64)})
+
+    def everywhere(m, at, batch):
+        return np.ones(at.low.shape, dtype=bool)
+
+    found = B.visit_blocks(index, points, everywhere, meet, "id bigint, met bigint")
+    per_point = found.groupBy("id").agg(F.count("*").alias("times"), F.sum("met").alias("met")).collect()
+    assert len(per_point) == 240 and {row["met"] for row in per_point} == {240}
+    assert max(row["times"] for row in per_point) <= 0.75 * blocks
+
+
+def test_pieces_hold_neighbouring_blocks_up_to_their_rows():
+    piece, mark = B.share_pieces(np.array([3, 4, 5, 30, 1, *[0] * 70]), 12)
+    assert piece[:5].tolist() == [0, 0, 0, 1, 2] and mark[:5].tolist() == [0, 1, 2, 0, 0]
+    assert mark.max() == B.MARKS - 1 and piece.max() == 3
+
+
 def test_a_block_in_demand_is_salted(spark, tiny_blocks):
     """All queries want the same few points."""
     queries, points = frame(spark, np.zeros((200, 2))), frame(spark, SAMPLES["clusters"][:, :2])
