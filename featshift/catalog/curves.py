@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from featshift.catalog.base import SQL_CV, Query, customer_curves, long, r
 from featshift.operators import knee as K
 from featshift.operators.evaluate import localization_f1
+from featshift.storage import materialize
 
 WINDOW_LENGTH = 2
 SENSITIVITY = 5
@@ -54,11 +55,13 @@ def knee_query(spark: SparkSession, d: str) -> DataFrame:
 
 def knee_steps_query(spark: SparkSession, d: str) -> DataFrame:
     """The same knees by the single steps."""
-    offline = K.locate_knee(_measured(spark, d), SENSITIVITY)
-    online = K.locate_knee(_measured(spark, d), SENSITIVITY, online=True).select(
+    # Stored, so that the curves are smoothed once for both.
+    measured = materialize(_measured(spark, d), "measured")
+    offline = K.locate_knee(measured, SENSITIVITY)
+    online = K.locate_knee(measured, SENSITIVITY, online=True).select(
         "run_id", F.col("knee_x").alias("knee_online")
     )
-    return offline.join(online, "run_id").select(
+    return offline.join(online.hint("merge"), "run_id").select(
         "run_id", long("knee_x").alias("knee_x"), long("iteration_knee").alias("iteration_knee"),
         long("knee_online").alias("knee_online"),
     )

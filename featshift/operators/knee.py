@@ -33,6 +33,12 @@ def _up_to(run: str) -> WindowSpec:
     return _along(run).rowsBetween(W.unboundedPreceding, 0)
 
 
+def _by_run(rows: DataFrame) -> DataFrame:
+    """For joins: these rows follow the number of runs, and the estimate of their size knows neither
+    densified points nor windows, so they are never broadcast through the driver."""
+    return rows.hint("merge")
+
+
 def densify(curve: DataFrame, run: str = "run_id") -> DataFrame:
     """Linear interpolation at every integer x from 0 to the last measured one."""
     nxt = curve.select(
@@ -70,20 +76,34 @@ def smoothing_weights(windows: DataFrame, polyorder: int = 4) -> DataFrame:
 
 
 def smooth(dense: DataFrame, windows: DataFrame, polyorder: int = 4, run: str = "run_id") -> DataFrame:
-    """Savitzky-Golay smoothing of densified points; beyond the ends the end point repeats."""
-    last = dense.groupBy(run).agg(F.max("x").alias("_last"))
-    spread = (
-        dense.select(run, "x")
-        .join(last, run)
-        .join(windows, run)
-        .join(smoothing_weights(windows, polyorder), "window")
-        .select(
-            run, "x", "weight",
-            F.greatest(F.lit(0), F.least(F.col("_last"), F.col("x") + F.col("offset"))).alias("_at"),
-        )
+    """Savitzky-Golay smoothing of densified points; beyond the ends the end point repeats.
+
+    A run's points and its window's weights meet in one row, so nothing is multiplied by the window.
+    """
+    points = dense.groupBy(run, "x").agg(F.sum("y").alias("y"), F.count("*").alias("n"))
+    runs = points.groupBy(run).agg(F.sort_array(F.collect_list(F.struct("x", "y", "n"))).alias("_points"))
+    weights = smoothing_weights(windows, polyorder).groupBy("window").agg(
+        F.collect_list(F.struct("offset", "weight")).alias("_weights")
+    )
+    first, last = F.col("_points")[0]["x"], F.element_at("_points", -1)["x"]
+    plain = F.transform("_points", lambda p: p["y"])
+    # A place for every integer, also where the caller has no point.
+    filled = F.transform(F.sequence(first, last), lambda x: F.get(F.filter("_points", lambda p: p["x"] == x), F.lit(0))["y"])
+    values = F.when(F.size("_points") == last - first + 1, plain).otherwise(filled)
+
+    def smoothed(x: Column) -> Column:
+        def add(total: Column, w: Column) -> Column:
+            at = F.greatest(F.lit(0), F.least(F.col("_last"), x + w["offset"]))
+            term = w["weight"] * F.get("_values", (at - F.col("_first")).cast("int"))
+            return F.coalesce(total + term, total, term)
+
+        return F.aggregate("_weights", F.lit(None).cast("double"), add)
+
+    joined = runs.join(_by_run(windows), run).join(F.broadcast(weights), "window")
+    held = joined.select(run, "_points", "_weights", first.alias("_first"), last.alias("_last"), values.alias("_values"))
+    return held.select(
+        run, F.inline(F.transform("_points", lambda p: F.struct(p["x"].alias("x"), (p["n"] * smoothed(p["x"])).alias("y"))))
     )
-    source = dense.select(run, F.col("x").alias("_at"), "y")
-    return spread.join(source, [run, "_at"]).groupBy(run, "x").agg(F.sum(F.col("weight") * F.col("y")).alias("y"))
 
 
 def running_minimum(points: DataFrame, run: str = "run_id") -> DataFrame:
@@ -97,7 +117,7 @@ def floor_at_half(points: DataFrame) -> DataFrame:
 
 def at_measured(points: DataFrame, curve: DataFrame, run: str = "run_id") -> DataFrame:
     """Keep the densified points at measured x; adds the raw value as ``y_raw``."""
-    return points.join(curve.select(run, "x", F.col("y").alias("y_raw")), [run, "x"])
+    return points.join(_by_run(curve.select(run, "x", F.col("y").alias("y_raw"))), [run, "x"])
 
 
 def smooth_curve(curve: DataFrame, window_length: int = 2, polyorder: int = 4, run: str = "run_id") -> DataFrame:
@@ -197,7 +217,7 @@ def locate_knee(
     found = knee_of_extended(extend(kept, sensitivity, run), sensitivity, online, run)
     first = F.col("head") + 1
     no_knee_at = first if no_knee == "first" else F.col("_last")
-    numbered = smoothed.select(run, "x", F.max("x").over(W.partitionBy(run)).alias("_last")).join(found, run)
+    numbered = smoothed.select(run, "x", F.max("x").over(W.partitionBy(run)).alias("_last")).join(_by_run(found), run)
     target = F.when(F.col("knee").isNull(), no_knee_at).when(F.col("knee") == -1, first).otherwise(F.col("knee"))
     inside = F.col("x") <= target
     return numbered.groupBy(run).agg(

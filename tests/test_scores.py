@@ -146,6 +146,29 @@ def test_smoothed_curve_falls_and_ends_above_half(spark):
         assert (np.diff(part["y"]) <= 1e-12).all() and part["y"].min() >= 0.5 and len(part) == 15
 
 
+def test_curves_are_not_broadcast_through_the_driver(spark):
+    """Only the weights of the distinct windows are."""
+    table = curve(spark, [(0, 1.0), (3, 0.9), (5, 0.6), (8, 0.55)])
+    for found, most in ((K.smooth_curve(table), 1), (K.locate_knee(table), 0)):
+        assert found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("BroadcastExchange") <= most
+
+
+def test_smoothing_of_repeated_and_missing_points(spark):
+    """The weighted sum is over the points there are, and a point that comes twice counts twice."""
+    points = [(2, 0.9), (3, 0.8), (3, 0.7), (7, 0.5), (8, None), (9, 0.4)]
+    dense = spark.createDataFrame([(1, x, y) for x, y in points], "run_id bigint, x int, y double")
+    windows = spark.createDataFrame([(1, 5)], "run_id bigint, window int")
+    weights = {r["offset"]: r["weight"] for r in K.smoothing_weights(windows, 2).collect()}
+    got = {r["x"]: r["y"] for r in K.smooth(dense, windows, 2).collect()}
+    assert sorted(got) == [2, 3, 7, 8, 9]
+    for x in got:
+        times = sum(a == x for a, _ in points)
+        want = [w * y for o, w in weights.items() for a, y in points if a == max(0, min(9, x + o)) and y is not None]
+        assert got[x] == pytest.approx(times * sum(want))
+
+
 def test_knee_of_a_clear_elbow(spark):
     steep = [(2 * i, max(0.5, 1.0 - 0.125 * i)) for i in range(10)]
     got = K.locate_knee(K.smooth_curve(curve(spark, steep))).first()
