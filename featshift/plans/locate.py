@@ -116,7 +116,7 @@ def detect_shift(pair: ShiftPair, config: LocateConfig | None = None, folds: Dat
     config = config or LocateConfig()
     start = time.time()
     folded = prepare_folds(pair, config, _fold_table(folds, config, pair))
-    with cached(assemble(folded, pair.features)) as data:
+    with cached(folded, lambda rows: assemble(rows, pair.features)) as data:
         rounds = _Rounds(data, pair, config)
         rounds.run(1, range(len(pair.features)))
     scores = rounds.spark.createDataFrame(rounds.scores, SCORES)
@@ -137,7 +137,7 @@ def locate_shift(pair: ShiftPair, config: LocateConfig | None = None, folds: Dat
     curve: list[tuple] = []
     log: list[tuple] = []
     folded = prepare_folds(pair, config, _fold_table(folds, config, pair))
-    with cached(assemble(folded, pair.features)) as data:
+    with cached(folded, lambda rows: assemble(rows, pair.features)) as data:
         rounds = _Rounds(data, pair, config)
         while True:
             start = time.time()
