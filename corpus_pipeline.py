@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from featshift.catalog.base import Query, table
 from featshift.llm import decontaminate, line_dedup, minhash, pieces, quality
 from featshift.llm.queries import tokenizer_path
+from featshift.llm.shelves import shuffles_removed
 from featshift.storage import drop_scope, materialize, scope
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -71,7 +72,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        with shuffles_removed(spark):
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs
 
 

@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,8 +130,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
                 names=["doc_id", "label", "buckets", "counts"],
             )
 
-    found: pd.DataFrame = chosen.mapInArrow(task, "doc_id string, label int, buckets binary, counts binary").toPandas().sort_values("doc_id")
-    return train([(int(y), np.frombuffer(b, dtype=np.int32), np.frombuffer(c, dtype=np.int32)) for y, b, c in zip(found.label, found.buckets, found.counts, strict=True)])
+    found = chosen.mapInArrow(task, "doc_id string, label int, buckets binary, counts binary").toArrow()
+    ids, labelled = found.column("doc_id").to_pylist(), found.column("label").to_pylist()
+    # Counts stay in the Arrow buffers that they came in.
+    buckets, counts = ([np.frombuffer(x.as_buffer(), dtype=np.int32) for x in found.column(c)] for c in ("buckets", "counts"))
+    return train([(labelled[k], buckets[k], counts[k]) for k in sorted(range(len(ids)), key=ids.__getitem__)])
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", score: str = "score", probability_from: float = 0.7, predicted: str = "predicted") -> DataFrame:

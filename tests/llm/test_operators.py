@@ -383,3 +383,24 @@ def test_decontamination_against_brute_force(spark, monkeypatch, most):
     items = spark.createDataFrame(list(enumerate(wanted)), "item_id long, text string")
     got = decontaminate.contamination(docs, items, size=size)[0].collect()
     assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in got} == want and len(got) == len(texts)
+
+
+def _shuffle_files(spark) -> set[str]:
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+
+def test_line_dedup_leaves_no_shuffles(spark):
+    """What its steps shuffled goes with them, however long the driver collects no garbage."""
+    texts = [(k, f"one line of {k % 7}\nand another of {k}\nwords {k} words") for k in range(200)]
+    before = _shuffle_files(spark)
+    out = line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert not _shuffle_files(spark) - before
+    assert out.count() == 200
+
+
+def test_line_dedup_plans_stay_short(spark):
+    """The driver keeps the text of every plan, and each has the ranks of all word classes."""
+    lines = spark.range(200_000).select(F.concat_ws(" ", "id", F.col("id") % 2, F.lit("c")).alias("line"))
+    plan = lines.select(line_dedup._ordered(F.col("line"), line_dedup._rarity(lines)).alias("words"))
+    assert len(plan._jdf.queryExecution().optimizedPlan().toString()) < 4 * line_dedup.CLASSES
