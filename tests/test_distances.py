@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -61,6 +62,45 @@ def test_knn(spark, tiny_blocks, name, k, own):
     assert all(got[key][0] == want[key][0] and math.isclose(got[key][1], want[key][1], abs_tol=1e-9) for key in want)
 
 
+def test_a_small_piece_copies_no_row_for_every_pair():
+    """4,000 points against 80 in 64 dimensions: each copy of all pairs' rows would take 164 MB."""
+    rng = np.random.default_rng(1)
+    left, right = (pd.DataFrame({"id": np.arange(n), "vec": list(rng.normal(size=(n, 64)))}) for n in (4000, 80))
+    tracemalloc.start()
+    r, s, d = B.nearest_in_piece(left, right, 10, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and len(r) == 40_000
+    far = distances(B.matrix(left["vec"][:50]), B.matrix(right["vec"]))
+    assert np.allclose(d[:500].reshape(50, 10), np.sort(far, axis=1)[:, :10])
+    assert (s[:500].reshape(50, 10) == np.argsort(far, axis=1)[:, :10]).all()
+
+
+def test_rows_found_in_a_piece_are_thinned_on_the_way(spark, tiny_blocks, monkeypatch):
+    """However many blocks a piece has, no more than a few rows of each query point are held at once."""
+    monkeypatch.setattr(B, "FOUND_ROWS", 1)
+    monkeypatch.setattr(B, "TASK_ROWS", 1000)
+    x = np.random.default_rng(2).normal(size=(150, 6))
+    index = B.build_index(frame(spark, x))
+    seen = "id bigint, neighbour bigint, distance double, most bigint"
+
+    def pairs(left, right):
+        r, s, d = B.nearest_in_piece(left, right, 2, False)
+        return pd.DataFrame({"id": left["id"].to_numpy()[r], "neighbour": right["id"].to_numpy()[s], "distance": d, "most": 0})
+
+    def best(found):
+        kept = found.sort_values(["id", "distance"]).groupby("id").head(2)
+        return kept.assign(most=max(found["most"].max(), found.groupby("id").size().max()))
+
+    def most_blocks(m, at, _):
+        return np.random.default_rng(3).random(at.low.shape) < 0.8
+
+    got = B.visit_blocks(index, frame(spark, x), most_blocks, pairs, seen, after=best).toPandas()
+    assert len(index.map.count) > 8 and got["most"].max() <= 4
+    found = B.knn_join(frame(spark, x), frame(spark, x), 2).orderBy("id", "rank").toPandas()
+    assert (found["neighbour"].to_numpy().reshape(150, 2) == np.argsort(distances(x, x), axis=1)[:, :2]).all()
+
+
 def test_knn_with_fewer_points_than_k(spark):
     found = B.knn_join(frame(spark, [[0.0]]), frame(spark, [[1.0], [3.0]]), 5).orderBy("rank").collect()
     assert [(r["neighbour"], r["distance"]) for r in found] == [(0, 1.0), (1, 3.0)]
