@@ -81,3 +81,42 @@ def test_cached_files_are_bounded_by_rows(spark, monkeypatch):
         assert len(written[0].inputFiles()) == 20 and written[0].columns == ["id", "a"]
         assert kept.columns == ["id", "a", "b"]
         assert kept.agg(F.count("*"), F.sum("b")).first() == (1000, 2000.0)
+
+
+def test_cached_rows_leave_memory_to_the_fits(spark):
+    with discriminate.cached(spark.range(10)) as data:
+        level = data.storageLevel
+        assert level.useDisk and not level.useMemory
+        assert data.count() == 10
+
+
+def test_only_fits_that_have_room_run_together(spark, monkeypatch):
+    rows = spark.range(400).select(
+        "id", (F.col("id") % 2).cast("double").alias("label"), (F.col("id") % 4).cast("int").alias("fold"),
+        (F.col("id") * 37 % 101 + 9 * (F.col("id") % 2)).cast("double").alias("x"), (F.col("id") * 53 % 89).cast("double").alias("y"),
+    )
+    together, run_together = [], discriminate.run_together
+
+    def seen(session, work, items, parallelism):
+        together.append(parallelism)
+        return run_together(session, work, items, parallelism)
+
+    monkeypatch.setattr(discriminate, "run_together", seen)
+    estimator = discriminate.boosted_trees(2, 2)
+
+    def scored():
+        with discriminate.cached(rows, lambda stored: discriminate.assemble(stored, ["x", "y"])) as data:
+            return sorted(discriminate.fit_folds(data, estimator, range(4)).scored.collect())
+
+    found = scored()
+    # Room for one fit and a half: 400 rows of 256 bytes.
+    monkeypatch.setattr(discriminate, "FIT_BYTES_PER_CORE", 400 * 256 * 3 // 2 // spark.sparkContext.defaultParallelism)
+    assert scored() == found and len(found) == 400
+    monkeypatch.setattr(discriminate, "FIT_BYTES_PER_CORE", 1)
+    assert scored() == found
+    assert together == [4, 1, 1]
+
+
+def test_a_forest_keeps_more_of_a_row_than_a_linear_model():
+    forest, boosted, linear = discriminate.random_forest(), discriminate.boosted_trees(), discriminate.logistic()
+    assert [discriminate.kept_bytes(e, 4) for e in (forest, boosted, linear)] == [544, 264, 48]
