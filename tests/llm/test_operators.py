@@ -404,3 +404,24 @@ def test_line_dedup_plans_stay_short(spark):
     lines = spark.range(200_000).select(F.concat_ws(" ", "id", F.col("id") % 2, F.lit("c")).alias("line"))
     plan = lines.select(line_dedup._ordered(F.col("line"), line_dedup._rarity(lines)).alias("words"))
     assert len(plan._jdf.queryExecution().optimizedPlan().toString()) < 4 * line_dedup.CLASSES
+
+
+def test_line_dedup_pairs_no_long_lines_that_differ(spark, monkeypatch):
+    """Long lines of the same few words meet by them, but are not sent on as pairs, and the shares lose none."""
+    draw = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    lines = [" ".join(draw.sample(words, n)) for n in (90, 120, 150, 180, 230, 300) for _ in range(20)]
+    near = [" ".join([*line.split(" ")[:-2], "other"]) for line in lines[::7]]
+    rows = spark.createDataFrame(list(enumerate([*lines, *near])), "doc_id long, text string")
+    behind, joined = line_dedup._behind, []
+
+    def seen(met, open_, x, after, percent):
+        joined.append(open_.join(x, "token").filter(after & line_dedup._possible(percent)[0]).select("doc", "no", "xdoc", "xno").distinct().count())
+        return behind(met, open_, x, after, percent)
+
+    monkeypatch.setattr(line_dedup, "_behind", seen)
+    for shares in (1, 4):
+        monkeypatch.setattr(line_dedup, "SHARES", shares)
+        got = line_dedup.dedup_lines(rows).filter("n_removed > 0").select("doc_id").collect()
+        assert sorted(r["doc_id"] for r in got) == list(range(len(lines), len(lines) + len(near)))
+    assert max(joined) <= 2 * len(near)
