@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pytest
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
 from pyspark.sql import functions as F
 
 from featshift.operators import discriminate
@@ -120,3 +122,62 @@ def test_only_fits_that_have_room_run_together(spark, monkeypatch):
 def test_a_forest_keeps_more_of_a_row_than_a_linear_model():
     forest, boosted, linear = discriminate.random_forest(), discriminate.boosted_trees(), discriminate.logistic()
     assert [discriminate.kept_bytes(e, 4) for e in (forest, boosted, linear)] == [544, 264, 48]
+
+
+def test_boosted_trees_fit_distinct_rows_with_their_numbers(spark, monkeypatch):
+    """Ten times the rows are no more cells, and the folds' models are those of all rows."""
+    rows = spark.range(6000).select(
+        "id", (F.col("id") * 7 % 10 < 4).cast("double").alias("label"), (F.col("id") % 4).cast("int").alias("fold"),
+        (F.col("id") * 37 % 13 + F.when(F.col("id") * 7 % 10 < 4, F.col("id") % 3).otherwise(0)).cast("double").alias("x"),
+        (F.col("id") * 53 % 7 / 3).alias("y"), F.lit(2.0).alias("z"),
+    )
+    names = ["x", "y", "z"]
+    sizes, in_cells = [], discriminate.C.in_cells
+
+    def seen(*args):
+        sizes.append(in_cells(*args).n)
+        return in_cells(*args)
+
+    monkeypatch.setattr(discriminate.C, "in_cells", seen)
+
+    def scored(df, estimator):
+        with discriminate.cached(df, lambda stored: discriminate.assemble(stored, names)) as data:
+            fits = discriminate.fit_folds(data, estimator, range(4))
+            p1 = {r["id"]: r["p1"] for r in fits.scored.collect()}
+            return p1, [list(fits.models[f].featureImportances.toArray()) for f in range(4)]
+
+    many = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(10)))).drop("copy")
+    for estimator in (discriminate.boosted_trees(3, 3), DecisionTreeClassifier(maxDepth=3)):
+        sizes.clear()
+        monkeypatch.setattr(discriminate.C, "LEAST_ROWS", 10**9)
+        plain, weights = scored(rows, estimator)
+        monkeypatch.setattr(discriminate.C, "LEAST_ROWS", 1)
+        for df in (rows, many):
+            p1, importances = scored(df, estimator)
+            assert p1 == pytest.approx(plain, abs=1e-9)
+            for mine, theirs in zip(importances, weights):
+                assert mine == pytest.approx(theirs, abs=1e-6)
+        assert sizes[:4] == sizes[4:] and max(sizes) <= 2 * 15 * 7
+
+
+def test_rows_that_are_all_different_are_fitted_as_they_are(spark, monkeypatch):
+    monkeypatch.setattr(discriminate.C, "LEAST_ROWS", 1)
+    rows = spark.range(300).select("id", (F.col("id") % 2).cast("double").alias("label"), *[(F.rand(i) + F.col("id") % 2).alias(f"x{i}") for i in range(4)])
+    data = discriminate.assemble(rows, [f"x{i}" for i in range(4)])
+    assert discriminate.C.in_cells(data, discriminate.boosted_trees(2, 2), 4) is None
+    assert discriminate.fit_tables([data], discriminate.boosted_trees(2, 2), 300, 4, 1)[0].getNumTrees == 2
+    counted = [discriminate.boosted_trees(), DecisionTreeClassifier()]
+    drawn = [discriminate.random_forest(), discriminate.logistic(), GBTClassifier(subsamplingRate=0.5), GBTClassifier(minInstancesPerNode=3), GBTClassifier(weightCol="w")]
+    assert all(discriminate.C.counts_rows(e) for e in counted) and not any(discriminate.C.counts_rows(e) for e in drawn)
+
+
+def test_ranges_end_where_those_of_a_spark_tree_do(spark):
+    """Many values, a third of the rows on one of them: every threshold of a deep tree is an end."""
+    values = [float(i * 7919 % 5003) if i % 3 else 2500.0 for i in range(6000)]
+    rows = spark.createDataFrame([(v, float(int(v * 13) % 2)) for v in values], "x double, label double")
+    tree = DecisionTreeClassifier(maxDepth=8, featuresCol=discriminate.VECTOR).fit(discriminate.assemble(rows, ["x"]))
+    thresholds = {float(t) for t in re.findall(r"feature 0 <= ([0-9.E]+)", tree.toDebugString)}
+    ends = discriminate.C.range_ends(np.array(values), 32)
+    assert len(thresholds) > 10 and thresholds <= set(ends) and len(ends) <= 31
+    assert discriminate.C.range_ends(np.array([1.0, 3.0, 3.0, 4.0]), 32) == [2.0, 3.5]
+    assert discriminate.C.range_ends(np.array([5.0, 5.0]), 32) == []
