@@ -6,10 +6,10 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.sql import functions as F
 
-from featshift.operators import discriminate
+from featshift.operators import discriminate, forest
 from featshift.operators.corrupt import permute_each, permute_joint
 from featshift.operators.rank import seeded_rank
 from featshift.storage import materialize
@@ -166,8 +166,8 @@ def test_rows_that_are_all_different_are_fitted_as_they_are(spark, monkeypatch):
     data = discriminate.assemble(rows, [f"x{i}" for i in range(4)])
     assert discriminate.C.in_cells(data, discriminate.boosted_trees(2, 2), 4) is None
     assert discriminate.fit_tables([data], discriminate.boosted_trees(2, 2), 300, 4, 1)[0].getNumTrees == 2
-    counted = [discriminate.boosted_trees(), DecisionTreeClassifier()]
-    drawn = [discriminate.random_forest(), discriminate.logistic(), GBTClassifier(subsamplingRate=0.5), GBTClassifier(minInstancesPerNode=3), GBTClassifier(weightCol="w")]
+    counted = [discriminate.random_forest(), discriminate.boosted_trees(), DecisionTreeClassifier()]
+    drawn = [RandomForestClassifier(bootstrap=False), RandomForestClassifier(subsamplingRate=0.5), discriminate.logistic(), GBTClassifier(subsamplingRate=0.5), GBTClassifier(minInstancesPerNode=3), GBTClassifier(weightCol="w")]
     assert all(discriminate.C.counts_rows(e) for e in counted) and not any(discriminate.C.counts_rows(e) for e in drawn)
 
 
@@ -181,3 +181,44 @@ def test_ranges_end_where_those_of_a_spark_tree_do(spark):
     assert len(thresholds) > 10 and thresholds <= set(ends) and len(ends) <= 31
     assert discriminate.C.range_ends(np.array([1.0, 3.0, 3.0, 4.0]), 32) == [2.0, 3.5]
     assert discriminate.C.range_ends(np.array([5.0, 5.0]), 32) == []
+
+
+def test_a_tree_of_a_forest_grows_as_spark_grows_it(spark):
+    rows = spark.range(4000).select(
+        (F.col("id") * 7919 % 1009 % 10 < 3 + F.col("id") * 31 % 11 % 4).cast("double").alias("label"),
+        (F.col("id") * 31 % 11).cast("double").alias("x"), (F.col("id") * 17 % 29 / 7).alias("y"),
+    )
+    data = discriminate.assemble(rows, ["x", "y"])
+    cells = discriminate.C.in_cells(data, DecisionTreeClassifier(), 2)
+    held = cells.stored.toPandas()
+    bins, label, weight = held[["_b0", "_b1"]].to_numpy().astype(np.int8), held["_label"].to_numpy() == 1.0, held["_weight"].to_numpy()
+    for depth in (2, 6):
+        tree = DecisionTreeClassifier(maxDepth=depth).fit(data)
+        nodes = forest.grow(bins, label, weight, depth, 2, 0.0, np.random.default_rng(0))
+        mine = sorted((f, round(cells.edges[f][b], 9)) for f, b in zip(nodes["feature"], nodes["bin"]) if f >= 0)
+        theirs = sorted((int(f), round(float(t), 9)) for f, t in re.findall(r"If \(feature (\d+) <= ([0-9.E-]+)\)", tree.toDebugString))
+        assert mine == theirs and len(nodes) == tree.numNodes > 3
+
+
+def test_forests_of_cells_are_spark_models_and_as_good(spark, monkeypatch):
+    rows = spark.range(6000).select(
+        (F.col("id") % 2).cast("double").alias("label"), (F.col("id") * 31 % 11 + F.when(F.col("id") % 2 == 1, F.col("id") % 3 * 2).otherwise(0)).cast("double").alias("x"),
+        (F.col("id") * 17 % 13).cast("double").alias("y"), F.lit(1.0).alias("z"),
+    )
+    data = discriminate.assemble(rows, ["x", "y", "z"]).persist()
+    estimator = discriminate.random_forest(20, 5, 3)
+
+    def accuracy(model):
+        return model.transform(data).agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0]
+
+    plain = discriminate.fit_tables([data], estimator, 6000, 3, 1)[0]
+    monkeypatch.setattr(discriminate.C, "LEAST_ROWS", 1)
+    grown, again = (discriminate.fit_tables([data.repartition(n)], estimator, 6000, 3, 1)[0] for n in (2, 7))
+    assert grown.getNumTrees == 20 and grown.getMaxDepth() == 5 and grown.numFeatures == 3 and grown.toDebugString == again.toDebugString
+    assert accuracy(grown) == pytest.approx(accuracy(plain), abs=0.02) and accuracy(plain) > 0.55
+    assert list(grown.featureImportances.toArray()) == pytest.approx(list(plain.featureImportances.toArray()), abs=0.15)
+    # Without a second label, or with more cells than a task may hold, Spark fits the rows.
+    assert discriminate.C.in_cells(data.filter("label = 0"), estimator, 3) is None
+    monkeypatch.setattr(discriminate.C, "MOST_CELLS", 10)
+    assert discriminate.C.in_cells(data, estimator, 3) is None
+    data.unpersist()
