@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.sql import functions as F
 
+from featshift.config import CorrectConfig
 from featshift.operators import discriminate, forest
 from featshift.operators.corrupt import permute_each, permute_joint
+from featshift.operators.proposals import query_halves
 from featshift.operators.rank import seeded_rank
+from featshift.plans import correct
+from featshift.sources.pair import ShiftPair
 from featshift.storage import materialize
 
 
@@ -222,3 +227,34 @@ def test_forests_of_cells_are_spark_models_and_as_good(spark, monkeypatch):
     monkeypatch.setattr(discriminate.C, "MOST_CELLS", 10)
     assert discriminate.C.in_cells(data, estimator, 3) is None
     data.unpersist()
+
+
+def test_a_cross_fitted_pair_stores_its_parts_one_by_one(spark, monkeypatch):
+    """What one part shuffled is gone before the next is written, and no second copy of the training rows is kept."""
+    rows = spark.range(400).select("id", (F.col("id") * 37 % 101 / 101).alias("x"), (F.col("id") * 53 % 89 / 89).alias("y"))
+    pair = ShiftPair(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1").withColumn("x", F.col("x") + 0.3), ("x", "y"), ("id",))
+    halves = query_halves(pair, 0)
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        found = files.getAllFiles()
+        return {name for k in range(found.size()) if (name := found.apply(k).getName()).startswith("shuffle_")}
+
+    stored, kept = [], spark.sparkContext._jsc.getPersistentRDDs().size()
+    before = shuffles()
+
+    def seen(df, name, *args):
+        out = materialize(df, name, *args)
+        if name == "training":
+            rows, until = out.count(), time.time() + 10
+            while shuffles() - before and time.time() < until:  # files are removed in the background
+                time.sleep(0.1)
+            left = spark.sparkContext._jsc.getPersistentRDDs().size() - kept
+            stored.append((len(df), rows, len(shuffles() - before), max(0, left)))
+        return out
+
+    monkeypatch.setattr(correct, "materialize", seen)
+    monkeypatch.setattr(correct, "fits_at_once", lambda *args: 1)
+    models = correct.fit_cross_pair(pair, ["x"], halves, [], CorrectConfig(base_classifier=discriminate.logistic()), "0")
+    assert sorted(models) == [0, 1] and [s[:2] for s in stored] == [(4, 700), (4, 700)]
+    assert all(s[2:] == (0, 0) for s in stored)
