@@ -285,3 +285,37 @@ def test_two_passes_reach_all_neighbours_in_few_blocks(dim, spread, most):
     nearest = np.argsort(distances, axis=1)[:, :k]
     assert both[np.arange(len(q))[:, None], cell[nearest]].all()
     assert not (first & B.other_blocks(m, at, k, reach)).any() and both.mean() < most
+
+
+def test_blocks_of_far_pivots_are_not_looked_at(spark, monkeypatch):
+    """In low dimension bounds are taken around near pivots only, and neighbours are those of all pairs."""
+    rng = np.random.default_rng(8)
+    pivots = rng.random((300, 3))
+    of = np.sort(np.concatenate([np.arange(300), rng.integers(0, 300, 200)]))
+    inner = rng.random(500) / 10
+    count = rng.integers(0, 3, 500)
+    m = B.BlockMap(pivots, list(range(300)), of, np.where(count > 0, inner, np.inf), np.where(count > 0, inner + 0.05, 0.0), count, count[:, None])
+    at = m.bounds(rng.random((200, 3)))
+    reach = rng.random(200) / 5
+    monkeypatch.setattr(B, "NEAR_PIVOTS", 4)
+    assert m.few_rings()
+    near, first = B._within(m, at, reach), B.first_blocks(m, at, 5)
+    others = B.other_blocks(m, at, 5, reach)
+    if ((first * count).sum(axis=1) >= 5).all():
+        assert (near & first & others).sum() == 0
+    assert (near[:, count > 0] == (at.low <= reach[:, None])[:, count > 0]).all()
+    assert ((first * count).sum(axis=1) >= 5).all() and not first[:, count == 0].any()
+    rows = [(i, [float(v) for v in rng.random(3) ** 3]) for i in range(900)]
+    monkeypatch.setattr(B, "PIVOT_ROWS", 4)
+    monkeypatch.setattr(B, "BLOCK_ROWS", 4)
+    index = B.build_index(spark.createDataFrame(rows, "id long, vec array<double>"))
+    x = np.array([v for _, v in rows])
+    bounds = index.map.bounds(x)
+    assert index.map.few_rings() and len(index.map.count) > 150
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    kth = np.sort(d, axis=1)[:, 3]
+    block = {r["id"]: r["block"] for r in index.points.collect()}
+    mask = B.first_blocks(index.map, bounds, 4) | B.other_blocks(index.map, bounds, 4, kth)
+    for i in range(900):
+        assert all(mask[i, block[j]] for j in np.flatnonzero(d[i] <= kth[i]))
+    assert mask.sum() < 0.3 * mask.size
